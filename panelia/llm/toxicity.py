@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import as_string, bound_batches, encode, hash_strings, slices
 
@@ -221,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(part.column("text"), shared.value))], names=[*names, "toxicity"])
 
-    schema = docs.schema.add("toxicity", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
