@@ -8,8 +8,8 @@ prefixes), its linear weight and factor vector are the sums over these terms, an
 so that pairs of words (an insult with a group mention) count beyond their additive weights.
 
 The model is learnt on a bounded sample of labelled rows (``max_positive``, ``max_negative``, chosen by a
-hash of the id), on the driver; the terms are first screened by their log odds and its z-score, so that
-the table that goes to the executors holds at most ``max_terms`` terms.  Every document is then scored
+hash of the id); executors count and screen its terms by their log odds and its z-score, so that the table
+that the driver trains and broadcasts holds at most ``max_terms`` terms.  Every document is then scored
 whole, in one narrow pass.
 
 Defined cases: a null or empty text has no word and gets sigmoid(bias); null or contradictory labels
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import as_string, bound_batches, encode, hash_strings, slices
+from .shared import stored
+from .words import as_string, bound_batches, encode, hash_strings, signed, slices
 
 EDGE = ".,;:!?|\"'()[]{}<>*_-"
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -128,53 +129,63 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     return sigmoid(z)
 
 
-def fit_texts(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> Model:
-    """Screen the terms, then minimise log loss with Adam over the whole sample."""
-    y = labels.astype(np.float64)
-    none = Model(np.empty(0, np.uint64), np.empty(0), np.zeros((0, s.factors)), 0.0)
-    if not len(y) or y.min() == y.max():
-        share = y.mean() if len(y) else 0.0
-        return Model(none.terms, none.weights, none.factors, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+def term_counts(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the texts, in how many texts each is, and in how many of label 1."""
     doc, code, dictionary = vocabulary(texts)
     rows, hashes = word_terms(dictionary)
     terms, term = np.unique(hashes, return_inverse=True)
-    # documents that hold each term, through the words
     order = np.argsort(code, kind="stable")
     start = np.searchsorted(code[order], np.arange(len(dictionary) + 1))
     size = (start[1:] - start[:-1])[rows]
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    pair = np.unique(np.repeat(term, size) * np.int64(len(y)) + doc[order][np.repeat(start[rows], size) + inner])
-    t, d = pair // len(y), pair % len(y)
-    count = np.bincount(t, minlength=len(terms))
-    pos = np.bincount(t, y[d], len(terms))
-    p, q = y.sum(), len(y) - y.sum()
-    a, b = (pos + 0.5) / (p + 1), (count - pos + 0.5) / (q + 1)
+    pair = np.unique(np.repeat(term, size) * np.int64(len(y)) + doc[order][np.repeat(start[rows], size) + inner]) if len(rows) else np.empty(0, np.int64)
+    t, d = pair // max(len(y), 1), pair % max(len(y), 1)
+    return terms, np.bincount(t, minlength=len(terms)), np.bincount(t, y[d], len(terms)).astype(np.int64)
+
+
+def screen(terms: np.ndarray, count: np.ndarray, pos: np.ndarray, positive: int, negative: int, s: Settings) -> np.ndarray:
+    """The terms that tell the labels apart, sorted; at most ``max_terms``, by the z-score of the log odds."""
+    a, b = (pos + 0.5) / (positive + 1), (count - pos + 0.5) / (negative + 1)
     odds = np.abs(np.log(a / (1 - a)) - np.log(b / (1 - b)))
     z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (count - pos + 0.5))
     keep = np.flatnonzero((count >= s.min_count) & (odds >= s.min_log_odds) & (z >= s.min_z))
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")][: s.max_terms])
-    terms = terms[keep]
-    # train: words with known terms only
+    return np.sort(terms[keep[np.lexsort((terms[keep], -z[keep]))][: s.max_terms]])
+
+
+def known_words(texts: pa.Array, terms: np.ndarray) -> pa.Array:
+    """The distinct words of each text that hold a known term."""
+    doc, code, dictionary = vocabulary(texts)
+    known = np.zeros(len(dictionary), bool)
+    known[known_terms(dictionary, terms)[0]] = True
+    keep = known[code]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(texts)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), dictionary.take(pa.array(code[keep])).cast(pa.string()))
+
+
+def constant(y: np.ndarray, s: Settings) -> Model:
+    share = y.mean() if len(y) else 0.0
+    return Model(np.empty(0, np.uint64), np.empty(0), np.zeros((0, s.factors)), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+
+
+def train(lists: pa.Array, y: np.ndarray, terms: np.ndarray, s: Settings) -> Model:
+    """Minimise log loss with Adam over the whole sample, given as known words."""
+    code, dictionary = encode(lists.flatten().cast(pa.large_string()))
+    doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
     wrow, wterm = known_terms(dictionary, terms)
-    words, wrow = np.unique(wrow, return_inverse=True)
-    place = np.full(len(dictionary), -1, np.int64)
-    place[words] = np.arange(len(words))
-    at = place[code]
-    doc, at = doc[at >= 0], at[at >= 0]
+    n, m, p = len(y), len(dictionary), y.sum()
     rng = np.random.default_rng(s.seed)
-    theta = {"w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), s.factors)), "b": np.array([np.log(p / q)])}
+    theta = {"w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), s.factors)), "b": np.array([np.log(p / (n - p))])}
     first, second = ({k: np.zeros_like(x) for k, x in theta.items()} for _ in range(2))
-    n, m = len(y), len(words)
     for step in range(1, s.epochs + 1):
         ww = np.bincount(wrow, theta["w"][wterm], m)
         wv = np.stack([np.bincount(wrow, theta["v"][wterm, f], m) for f in range(s.factors)], 1)
-        total = np.stack([np.bincount(doc, wv[at, f], n) for f in range(s.factors)], 1)
-        zed = theta["b"] + np.bincount(doc, ww[at], n) + 0.5 * (total**2).sum(1) - 0.5 * np.bincount(doc, (wv**2).sum(1)[at], n)
-        g = (sigmoid(zed) - y) / n
-        gw = np.bincount(at, g[doc], m)
-        gv = np.stack([np.bincount(at, g[doc] * (total[doc, f] - wv[at, f]), m) for f in range(s.factors)], 1)
+        total = np.stack([np.bincount(doc, wv[code, f], n) for f in range(s.factors)], 1)
+        z = theta["b"] + np.bincount(doc, ww[code], n) + 0.5 * (total**2).sum(1) - 0.5 * np.bincount(doc, (wv**2).sum(1)[code], n)
+        g = (sigmoid(z) - y) / n
+        gw = np.bincount(code, g[doc], m)
+        gv = np.stack([np.bincount(code, g[doc] * (total[doc, f] - wv[code, f]), m) for f in range(s.factors)], 1)
         grad = {
-            "w": np.bincount(wterm, gw[wrow], len(terms)) + s.decay * theta["w"] / len(terms) ** 0.5,
+            "w": np.bincount(wterm, gw[wrow], len(terms)) + s.decay * theta["w"] / max(len(terms), 1) ** 0.5,
             "v": np.stack([np.bincount(wterm, gv[wrow, f], len(terms)) for f in range(s.factors)], 1) + s.decay * theta["v"],
             "b": np.array([g.sum()]),
         }
@@ -185,6 +196,15 @@ def fit_texts(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) ->
     return Model(terms, theta["w"], theta["v"], float(theta["b"][0]))
 
 
+def fit_texts(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> Model:
+    """The model of a sample that is in memory."""
+    y = labels.astype(np.float64)
+    if not len(y) or y.min() == y.max():
+        return constant(y, s)
+    terms = screen(*term_counts(texts, y), int(y.sum()), int(len(y) - y.sum()), s)
+    return train(known_words(texts, terms), y, terms, s)
+
+
 def fold(doc_id: str | F.Column, folds: int = 5):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
 
@@ -205,9 +225,37 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Data
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    bound_batches(docs.sparkSession)
-    rows = sample(docs, labels, s).orderBy("doc_id", F.xxhash64("text")).limit(s.max_positive + s.max_negative).toArrow()
-    return fit_texts(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows["toxic"]), s)
+    """Terms are counted and screened on the executors; only the sample's known words come to the driver."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    rows = stored(sample(docs, labels, s), "tox-sample")
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return constant(np.repeat([0.0, 1.0], [sizes.get(0, 0), sizes.get(1, 0)]), s)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                terms, n, pos = term_counts(part.column("text"), np.asarray(part.column("toxic")).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(n), pa.array(pos)], names=["term", "n", "pos"])
+
+    counts = rows.mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    a, b = (F.col("pos") + 0.5) / (sizes[1] + 1), (F.col("n") - F.col("pos") + 0.5) / (sizes[0] + 1)
+    odds = F.abs(F.log(a / (1 - a)) - F.log(b / (1 - b)))
+    z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("n") - F.col("pos") + 0.5))
+    told = counts.where((F.col("n") >= s.min_count) & (odds >= s.min_log_odds) & (z >= s.min_z)).withColumn("z", z)
+    # at most max_terms rows
+    terms = np.sort(np.asarray(told.orderBy(F.desc("z"), "term").limit(s.max_terms).select("term").toArrow()["term"]).view(np.uint64))
+    shared = spark.sparkContext.broadcast(terms)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), known_words(part.column("text"), shared.value)], names=["doc_id", "toxic", "words"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    known = rows.mapInArrow(keep, f"doc_id {kind}, toxic int, words array<string>").withColumn("words", F.array_sort("words")).orderBy("doc_id", F.hash("words")).toArrow()
+    return train(known["words"].combine_chunks(), np.asarray(known["toxic"]).astype(np.float64), terms, s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
