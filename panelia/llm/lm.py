@@ -98,7 +98,7 @@ def combine(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return *(k[new] for k in keys), np.add.reduceat(n, new)
 
 
-def counter(keys_of: Callable, names: list[str], flush: int = 3_000_000) -> Callable:
+def counter(keys_of: Callable, names: list[str], flush: int = 1_500_000) -> Callable:
     """A mapInArrow function that counts keys over its whole partition, with bounded memory."""
 
     def emit(part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def counter(keys_of: Callable, names: list[str], flush: int = 3_000_000) -> Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=4 << 20):
                 owner, hashes = tokens(part.column("text"))
                 keys = keys_of(owner, hashes)
                 parts.append(combine([(*keys, np.ones(len(keys[0]), np.int64))]))
@@ -152,7 +152,7 @@ class Model:
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 8)
     training = docs.where(~held_out(s.folds)).select("text")
     count = lambda f, names: training.mapInArrow(counter(f, [*names, "n"]), ", ".join(f"{x} long" for x in [*names, "n"]))
     words = stored(count(lambda o, h: (h,), ["h"]).groupBy("h").agg(F.sum("n").alias("c")), "lm-words")
@@ -179,7 +179,7 @@ def shard_count(spark: SparkSession, entries: int, s: Settings) -> int:
 
 
 def shard(model: Model, k: int, of: int) -> tuple:
-    """Shard k: words with counts and backoff weights, arcs with deltas, each sorted by key."""
+    """Shard k: words with their log-probability over that of an unknown word and their backoff weights, arcs with deltas, each sorted by key."""
     mine = lambda c: F.pmod(F.xxhash64(c), F.lit(of)) == k
     # at most shard_entries words and arcs, give or take the hash's spread
     words = model.words.where(mine("h")).select("h", "c", F.col("backoff").cast("float").alias("backoff")).toArrow()
@@ -189,7 +189,8 @@ def shard(model: Model, k: int, of: int) -> tuple:
     order = np.argsort(h)
     keys = pair_keys(unsigned(arcs["h1"]), unsigned(arcs["h2"]))
     by_key = np.argsort(keys)
-    return h[order], np.asarray(words["c"])[order], np.asarray(words["backoff"])[order], keys[by_key], np.asarray(arcs["delta"])[by_key]
+    logs = np.log10((np.asarray(words["c"]) + model.settings.add) / model.settings.add)
+    return h[order], logs[order], np.asarray(words["backoff"])[order], keys[by_key], np.asarray(arcs["delta"])[by_key]
 
 
 PARTIAL = ["n_tokens", "n_known", "over", "arc"]
@@ -215,14 +216,14 @@ def traverse(texts: pa.Array, words: Lookup, logs: np.ndarray, backoff: np.ndarr
 def partial_scores(docs: DataFrame, model: Model, k: int, of: int) -> DataFrame:
     """doc_id, key and PARTIAL of every row, by shard k."""
     spark = docs.sparkSession
+    bound_batches(spark, 8)
     shared = spark.sparkContext.broadcast(shard(model, k, of))
-    add = model.settings.add
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, backoff, keys, delta = shared.value
-        words, arcs, logs = Lookup(h), Lookup(keys), np.log10((c + add) / add)
+        h, logs, backoff, keys, delta = shared.value
+        words, arcs = Lookup(h), Lookup(keys)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=4 << 20):
                 sums = traverse(part.column("text"), words, logs, backoff, arcs, delta)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *map(pa.array, sums)], names=["doc_id", "key", *PARTIAL])
 
