@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lm, media, secrets, toxicity
+from . import licenses, lm, media, mixing, secrets, sentencepieces, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model_scores(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_lm_scores, op5_license_scan, op7_toxicity, op10_media_columns)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_sentencepiece, op4_lm_scores, op5_license_scan, op7_toxicity, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
