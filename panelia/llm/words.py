@@ -41,16 +41,23 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch, each with at most ``limit`` bytes of text or one row."""
+    """Consecutive slices of a batch, each with at most ``limit`` bytes of text or one row.
+
+    Slices are copies: some Arrow kernels read a slice that begins inside its buffers wrongly.
+    """
+
+    def copy(a: int, b: int) -> pa.RecordBatch:
+        return batch if (a, b) == (0, batch.num_rows) else batch.take(pa.array(np.arange(a, b)))
+
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > limit:
-            yield batch.slice(start, i - start)
+            yield copy(start, i)
             start, total = i, 0
         total += int(size)
     if batch.num_rows > start:
-        yield batch.slice(start)
+        yield copy(start, batch.num_rows)
 
 
 def as_string(column: pa.Array) -> pa.Array:
