@@ -4,25 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelia.llm import secrets, toxicity
+from panelia.llm import jaccard, mixing, secrets, sentencepieces, toxicity
+from panelia.llm.shared import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine rejects go."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five words, 0.8) stays."""
+    return jaccard.keep_one(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark."""
     return secrets.redact(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("secrets", redact_secrets)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of the mix; the surplus of over-represented sources goes."""
+    return mixing.interleave(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids, checked against their texts."""
+    return sentencepieces.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("source_mix", mix_sources),
+    ("sentencepiece", encode),
+]
 
-#: No SQL: the stages learn models; the tests compare with brute force.
+#: No SQL: two stages learn models and one runs a tokenizer; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES):
+            docs = stored(docs, f"stage-{name}")
     return docs

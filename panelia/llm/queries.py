@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, lm, media, mixing, secrets, sentencepieces, substrings, toxicity
+from . import jaccard, licenses, lm, media, mixing, neighbours, secrets, sentencepieces, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_sentencepiece, op4_lm_scores, op5_license_scan, op7_toxicity, op8_jaccard_join, op9_substring_dedup, op10_media_columns)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_sentencepiece, op4_lm_scores, op5_license_scan, op6_nearest_neighbours, op7_toxicity, op8_jaccard_join, op9_substring_dedup, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
