@@ -8,10 +8,11 @@ are removed.
    windows have equal anchors.  Anchors are counted over all documents with map-side sums; those that occur
    twice or more go into a bitmap of fixed size, so that windows without a repeated anchor drop out.
 2. Edges.  A task sorts the candidate windows of a slice: all but the first of equal ones are repeats already,
-   and only the first goes on.  Hence a passage that a third of all documents share sends one row per slice.
-   A join of the edges with the source of each repeated edge (its first coordinates) tells the repeats.
-3. Compaction.  Repeats of one document that advance together with their source are a nonbranching path, and
-   compact into one span with one source span.  Sources are compared by two independent window hashes.
+   and only the first goes on.  Neighbouring windows with one anchor are a nonbranching path and travel as one
+   row, so that a passage that a third of all documents share sends a few rows per slice.  Paths meet by their
+   anchors; windows are equal if both the anchor's and the window's hash are.
+3. Compaction.  Of equal windows all but the one with the least source coordinates are repeats; those that
+   follow each other in a document compact into spans, which a document's join with its text unites.
 4. Spans are joined with the texts of the documents that have any (again by a bitmap of fixed size).
 
 Defined cases: a null text has no words; rows that repeat a doc_id share coordinates: equal coordinates don't
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bitmap, maybe
@@ -94,50 +95,94 @@ def spans_of(group: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group[first], start[first], start[last] + K
 
 
-EDGES = "w long, v int, doc long, key long, a int, b int"
+EDGES = "h long, doc long, key long, a int, b int, path array<long>"
 
 
 def edges_of(part: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    """Candidate windows that come first in this slice (w, v, doc, key, a), and spans [a, b) that repeat inside it (w null)."""
+    """Paths of candidate windows that come first in this slice, one anchor each, and spans [a, b) that repeat inside it.
+
+    A path holds the hashes of the windows that begin at the words a, a + 1, ...; a span has no path, and a
+    key that spreads spans.
+    """
     part = part.take(pc.sort_indices(part.column("doc_id"), null_placement="at_start"))
     owner, words = split_words(part.column("text"))
     hashes = hash_words(words)
-    start, least, _ = anchors(hashes, owner)
-    start = start[maybe(bits, least)]
+    start, least, anchor = anchors(hashes, owner)
+    candidate = maybe(bits, least)
+    start, least, anchor = start[candidate], least[candidate], anchor[candidate]
     with np.errstate(over="ignore"):
         w = np.zeros(len(start), np.uint64)
-        v = np.zeros(len(start), np.uint64)
         for j in range(K):
-            x = hashes[start + j]
-            w = w * BASE + x
-            v = v * np.uint64(0xC2B2AE3D27D4EB4F) + (x >> np.uint64(7))
-    w, v = mix(w), (mix(v) >> np.uint64(33)).astype(np.int32)
+            w = w * BASE + hashes[start + j]
+    w = mix(w)
     begin = np.searchsorted(owner, np.arange(part.num_rows))
     row = owner[start]
     place = start - begin[row]
     ids = np.asarray(pc.fill_null(part.column("doc_id").cast(pa.int64()), int(NO_ID)))
     keys = np.asarray(part.column("key"))
     order = np.argsort(w, kind="stable")  # equal windows stay in the order of their coordinates
-    same = np.concatenate([[False], (w[order][1:] == w[order][:-1]) & (v[order][1:] == v[order][:-1])]) if len(order) else np.zeros(0, bool)
+    same = np.concatenate([[False], (w[order][1:] == w[order][:-1]) & (least[order][1:] == least[order][:-1])]) if len(order) else np.zeros(0, bool)
     # rows of one id share coordinates
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
     tie = same & (ids[row[order]] == ids[row[order[head]]]) & (place[order] == place[order[head]])
     later = np.zeros(len(start), bool)
     later[order] = same & ~tie
     first = np.flatnonzero(~later)
-    repeat = np.flatnonzero(later)
-    g, a, b = spans_of(row[repeat], place[repeat])
-    n, m = len(first), len(g)
-    i32 = lambda x: pa.array(x.astype(np.int32))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(start[first]) != 1) | (np.diff(anchor[first]) != 0) | (np.diff(row[first]) != 0)])) if len(first) else first
+    path = pa.ListArray.from_arrays(pa.array(np.append(new, len(first)), pa.int32()), pa.array(signed(w[first])))
+    top = first[new]
+    g, a, b = spans_of(row[later], place[later])
+    spread = signed(mix(ids[g].view(np.uint64) ^ a.astype(np.uint64)))
+    n, m = len(top), len(g)
     columns = [
-        pa.concat_arrays([pa.array(signed(w[first])), pa.nulls(m, pa.int64())]),
-        pa.concat_arrays([pa.array(v[first]), pa.nulls(m, pa.int32())]),
-        pa.array(np.concatenate([ids[row[first]], ids[g]])),
-        pa.array(np.concatenate([keys[row[first]], keys[g]])),
-        i32(np.concatenate([place[first], a])),
-        i32(np.concatenate([np.zeros(n, np.int64), b])),
+        pa.array(np.concatenate([signed(least[top]), spread])),
+        pa.array(np.concatenate([ids[row[top]], ids[g]])),
+        pa.array(np.concatenate([keys[row[top]], keys[g]])),
+        pa.array(np.concatenate([place[top], a]).astype(np.int32)),
+        pa.array(np.concatenate([np.zeros(n, np.int64), b]).astype(np.int32)),
+        pa.concat_arrays([path, pa.nulls(m, path.type)]),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["w", "v", "doc", "key", "a", "b"])
+    return pa.RecordBatch.from_arrays(columns, names=["h", "doc", "key", "a", "b", "path"])
+
+
+def repeats_of(table: pa.Table) -> pa.RecordBatch:
+    """Spans (doc, key, a, b) of the windows that are not the first of their kind; rows are sorted by h, doc, a, groups whole."""
+    is_path = np.asarray(pc.is_valid(table["path"]))
+    ready, paths = table.filter(pa.array(~is_path)), table.filter(pa.array(is_path)).combine_chunks()
+    sizes = np.asarray(pc.list_value_length(paths["path"])).astype(np.int64)
+    w = np.asarray(pc.list_flatten(paths["path"]))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    h, doc, key, a = (np.asarray(paths[c]) for c in ("h", "doc", "key", "a"))
+    place = a[row] + inner
+    order = np.argsort(w, kind="stable")
+    order = order[np.lexsort((h[row[order]], w[order]))] if len(order) else order
+    same = np.concatenate([[False], (w[order][1:] == w[order][:-1]) & (h[row[order]][1:] == h[row[order]][:-1])]) if len(order) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
+    tie = same & (doc[row[order]] == doc[row[order[head]]]) & (place[order] == place[order[head]])
+    later = np.zeros(len(w), bool)
+    later[order] = same & ~tie
+    g, begin, end = spans_of(row[later], place[later])
+    i32 = lambda x: x.astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([np.asarray(ready[c]), x])) for c, x in (("doc", doc[g]), ("key", key[g]), ("a", i32(begin)), ("b", i32(end)))], names=["doc", "key", "a", "b"]
+    )
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``repeats_of`` over sorted batches; the last group of a batch waits for the next batch."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = np.asarray(batch.column("h"))
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut:
+            yield repeats_of(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield repeats_of(pa.Table.from_batches(waiting))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -155,15 +200,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 yield edges_of(part, shared.value)
 
-    found = stored(docs.mapInArrow(run, EDGES), "edges")
-    edges = found.where("w is not null").select("w", "v", "doc", "key", "a")
-    source = edges.groupBy("w", "v").agg(F.min(F.struct("doc", "a")).alias("s"), F.count("*").alias("n")).where("n > 1").select("w", "v", F.col("s.doc").alias("sdoc"), F.col("s.a").alias("sa"))
-    repeated = edges.join(source, ["w", "v"]).where("doc <> sdoc or a <> sa")
-    # a path advances with its source: one diagonal, neighbouring places
-    path = Window.partitionBy("doc", "key", "sdoc", F.col("a") - F.col("sa")).orderBy("a")
-    islands = repeated.withColumn("island", F.col("a") - F.row_number().over(path))
-    paths = islands.groupBy("doc", "key", "sdoc", (F.col("a") - F.col("sa")).alias("d"), "island").agg(F.min("a").alias("a"), (F.max("a") + K).alias("b"))
-    return paths.select("doc", "key", "a", "b").unionByName(found.where("w is null").select("doc", "key", "a", "b"))
+    # what has one anchor meets in one place; a hot anchor has a row or two for each slice
+    met = docs.mapInArrow(run, EDGES).repartition("h").sortWithinPartitions("h", "doc", "a")
+    return met.mapInArrow(by_group, "doc long, key long, a int, b int")
 
 
 def keep_words(text: str | None, spans: list | None) -> tuple[int, int, list[bytes]]:
