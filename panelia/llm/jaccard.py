@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .bits import bitmap, maybe
 from .components import components
 from .shared import stored
-from .words import BASE, as_string, bound_batches, hash_words, mix, ngram_hashes, signed, slices, split_words
+from .words import BASE, as_string, bound_batches, hash_words, mix, ngram_hashes, signed, slices, split_words, tidy
 
 NODE_BITS = 25
 SEGMENT_SALT, BAND_SALT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03)
@@ -166,6 +166,7 @@ class Join:
         """(doc_id, key, n, node) of every row; node null where the set is empty."""
         k = self.s.words
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
@@ -178,6 +179,7 @@ class Join:
         """(sig, a, na, b, nb): b is the least node of a's bucket (or of its part in a slice), and not a."""
         s = self.s
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, limit=4 << 20):
@@ -222,6 +224,7 @@ class Join:
         k = self.s.words
         names = ["id", "n", "grams", *(f"s{i}" for i in range(SKETCH))]
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, limit=2 << 20):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import BASE, as_string, bound_batches, encode, hash_strings, mix, signed, slices, split_words
+from .words import BASE, as_string, bound_batches, encode, hash_strings, mix, signed, slices, split_words, tidy
 
 END = hash_strings(pa.array(["end of text"]), seed=1)[0]
 
@@ -106,6 +106,7 @@ def counter(keys_of: Callable, names: list[str], flush: int = 1_500_000) -> Call
         for i in range(0, len(part[-1]), step):
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(k[i : i + step]))) for k in part[:-1]] + [pa.array(part[-1][i : i + step])], names=names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
@@ -219,6 +220,7 @@ def partial_scores(docs: DataFrame, model: Model, k: int, of: int) -> DataFrame:
     bound_batches(spark, 8)
     shared = spark.sparkContext.broadcast(shard(model, k, of))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, logs, backoff, keys, delta = shared.value
         words, arcs = Lookup(h), Lookup(keys)

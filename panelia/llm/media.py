@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import bound_batches, slices
+from .words import bound_batches, slices, tidy
 
 UNIT = 576
 RATE_IN, RATE_OUT, DOWN = 16_000, 8_000, 2
@@ -140,6 +140,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
     """doc_id and what was stored, read back and computed for every document."""
     bound_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -177,6 +178,7 @@ def tensors(docs: DataFrame) -> DataFrame:
             inside = [{"start_s": a, "end_s": b} for a, b in spans if start <= a < start + step]
             yield doc_id, chunk, media if chunk == 0 else None, full.tobytes(), len(part), start, ((k + len(part) - 1) * HOP + FRAME) / RATE_OUT, inside
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=1 << 20):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import bound_batches
+from .words import bound_batches, tidy
 
 
 @dataclass(frozen=True)
@@ -237,6 +237,7 @@ def nearest(frame: DataFrame, s: Settings = Settings(), is_query: str = "vec_id
         ids, vectors = arrays(table)
         return one({"dim": (key[0].as_py(), pa.int32()), "block": (key[1].as_py(), pa.int32()), "qids": (ids.tobytes(), pa.binary()), "queries": (vectors.tobytes(), pa.binary())})
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .words import bound_batches, encode, slices
+from .words import bound_batches, encode, slices, tidy
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -207,6 +207,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int
     if clash := {f.name for f in added} & set(names):
         raise ValueError(f"the documents have columns {sorted(clash)} already")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
@@ -232,6 +233,7 @@ def decode_documents(encoded: DataFrame, model_path: str = MODEL, column: str =
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
     names = encoded.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .bits import bitmap, maybe
 from .lm import combine
 from .shared import stored
-from .words import BASE, bound_batches, hash_words, mix, ngram_hashes, signed, slices, split_words
+from .words import BASE, bound_batches, hash_words, mix, ngram_hashes, signed, slices, split_words, tidy
 
 K, M = 20, 10
 ANCHOR_BITS, DOC_BITS = 27, 25
@@ -64,6 +64,7 @@ def anchors(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, least, place
 
 
+@tidy
 def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
 
@@ -169,6 +170,7 @@ def repeats_of(table: pa.Table) -> pa.RecordBatch:
     )
 
 
+@tidy
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``repeats_of`` over sorted batches; the last group of a batch waits for the next batch."""
     waiting: list[pa.RecordBatch] = []
@@ -195,6 +197,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     counts = docs.select("text").mapInArrow(count_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(bitmap(counts.where("n > 1"), "h", ANCHOR_BITS))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -234,6 +237,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         out = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([g for _, g, _ in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
         return out + [pa.array([x.decode() for x in kept], pa.string())] * with_text
 
+    @tidy
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -242,6 +246,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 open_text = pc.if_else(pa.array(mask), pc.fill_null(part.column("text"), ""), None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), part.column("key"), open_text, *clean], names=["doc_id", "id", "key", "text", *names])
 
+    @tidy
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import stored
-from .words import as_string, bound_batches, encode, hash_strings, signed, slices
+from .words import as_string, bound_batches, encode, hash_strings, signed, slices, tidy
 
 EDGE = ".,;:!?|\"'()[]{}<>*_-"
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -233,9 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     if len(sizes) < 2:
         return constant(np.repeat([0.0, 1.0], [sizes.get(0, 0), sizes.get(1, 0)]), s)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 << 20):
                 terms, n, pos = term_counts(part.column("text"), np.asarray(part.column("toxic")).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(n), pa.array(pos)], names=["term", "n", "pos"])
 
@@ -248,9 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     terms = np.sort(np.asarray(told.orderBy(F.desc("z"), "term").limit(s.max_terms).select("term").toArrow()["term"]).view(np.uint64))
     shared = spark.sparkContext.broadcast(terms)
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), known_words(part.column("text"), shared.value)], names=["doc_id", "toxic", "words"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -265,9 +267,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
     shared = spark.sparkContext.broadcast(model)  # at most max_terms terms
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 << 20):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(part.column("text"), shared.value))], names=[*names, "toxicity"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
