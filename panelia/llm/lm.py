@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import BASE, as_string, bound_batches, encode, hash_strings, mix, signed, slices, split_words, tidy
+from .words import BASE, as_string, bound_batches, encode, hash_strings, mix, release, signed, slices, split_words, tidy
 
 END = hash_strings(pa.array(["end of text"]), seed=1)[0]
 
@@ -98,7 +98,7 @@ def combine(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return *(k[new] for k in keys), np.add.reduceat(n, new)
 
 
-def counter(keys_of: Callable, names: list[str], flush: int = 1_500_000) -> Callable:
+def counter(keys_of: Callable, names: list[str], flush: int = 1_000_000) -> Callable:
     """A mapInArrow function that counts keys over its whole partition, with bounded memory."""
 
     def emit(part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def counter(keys_of: Callable, names: list[str], flush: int = 1_500_000) -> Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=2 << 20):
                 owner, hashes = tokens(part.column("text"))
                 keys = keys_of(owner, hashes)
                 parts.append(combine([(*keys, np.ones(len(keys[0]), np.int64))]))
@@ -182,16 +182,21 @@ def shard_count(spark: SparkSession, entries: int, s: Settings) -> int:
 def shard(model: Model, k: int, of: int) -> tuple:
     """Shard k: words with their log-probability over that of an unknown word and their backoff weights, arcs with deltas, each sorted by key."""
     mine = lambda c: F.pmod(F.xxhash64(c), F.lit(of)) == k
-    # at most shard_entries words and arcs, give or take the hash's spread
-    words = model.words.where(mine("h")).select("h", "c", F.col("backoff").cast("float").alias("backoff")).toArrow()
-    arcs = model.arcs.where(mine("h2")).select("h1", "h2", F.col("delta").cast("float").alias("delta")).toArrow()
     unsigned = lambda c: np.asarray(c).view(np.uint64)
-    h = unsigned(words["h"])
+    # at most shard_entries words and arcs, give or take the hash's spread; one table at a time
+    words = model.words.where(mine("h")).select("h", "c", F.col("backoff").cast("float").alias("backoff")).toArrow()
+    h, logs, backoff = unsigned(words["h"]), np.log10((np.asarray(words["c"]) + model.settings.add) / model.settings.add), np.asarray(words["backoff"])
+    del words
     order = np.argsort(h)
-    keys = pair_keys(unsigned(arcs["h1"]), unsigned(arcs["h2"]))
-    by_key = np.argsort(keys)
-    logs = np.log10((np.asarray(words["c"]) + model.settings.add) / model.settings.add)
-    return h[order], logs[order], np.asarray(words["backoff"])[order], keys[by_key], np.asarray(arcs["delta"])[by_key]
+    h, logs, backoff = h[order], logs[order], backoff[order]
+    release()
+    arcs = model.arcs.where(mine("h2")).select("h1", "h2", F.col("delta").cast("float").alias("delta")).toArrow()
+    keys, delta = pair_keys(unsigned(arcs["h1"]), unsigned(arcs["h2"])), np.asarray(arcs["delta"])
+    del arcs
+    order = np.argsort(keys)
+    keys, delta = keys[order], delta[order]
+    release()
+    return h, logs, backoff, keys, delta
 
 
 PARTIAL = ["n_tokens", "n_known", "over", "arc"]
@@ -225,7 +230,7 @@ def partial_scores(docs: DataFrame, model: Model, k: int, of: int) -> DataFrame:
         h, logs, backoff, keys, delta = shared.value
         words, arcs = Lookup(h), Lookup(keys)
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=2 << 20):
                 sums = traverse(part.column("text"), words, logs, backoff, arcs, delta)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *map(pa.array, sums)], names=["doc_id", "key", *PARTIAL])
 
