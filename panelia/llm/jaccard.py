@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bits import bitmap, maybe
 from .components import components
-from .shared import stored
+from .shared import pack, stored, unpack
 from .words import BASE, as_string, bound_batches, hash_words, mix, ngram_hashes, signed, slices, split_words, tidy
 
 NODE_BITS = 25
@@ -316,10 +316,11 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     found = stored(Join(docs, s).run(), "jaccard-result")
     best = found.where("node is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
     named = best.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_k")).unionByName(found.where("node is null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct())
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    needed = ("doc_id", "text")
+    keyed = pack(docs, *needed).withColumn("_key", F.xxhash64("text"))
     joined = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
     once = Window.partitionBy("doc_id", "_key").orderBy("doc_id")
-    return joined.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    return unpack(joined.withColumn("_n", F.row_number().over(once)).where("_n = 1"), docs.columns, needed)
 
 
 def production() -> Settings:

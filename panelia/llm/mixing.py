@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import pack, stored, unpack
 
 RANGE_BITS = 14
 
@@ -137,6 +137,7 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def interleave(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents of the mix with their own columns, written order being the schedule's."""
     kept = schedule(docs, s).where("in_mix").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("slot").alias("_slot"), F.col("before").alias("_before")).dropDuplicates(["_id", "_h"])
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    needed = ("doc_id", "text", "source")
+    keyed = pack(docs, *needed).withColumn("_key", F.xxhash64("doc_id", "text"))
     joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
-    return joined.repartitionByRange("_slot", "_before").sortWithinPartitions("_slot", "_before").select(*docs.columns)
+    return unpack(joined.repartitionByRange("_slot", "_before").sortWithinPartitions("_slot", "_before"), docs.columns, needed)

@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import pack, unpack
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
@@ -141,7 +143,8 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by MARK, and n_chars to match."""
-    found = find(docs, train(docs))
+    needed = ("doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else []))
+    found = find(pack(docs, *needed), train(docs.select("doc_id", "text")))
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
     # spans come by start: one that begins before the last end extends it
     merged = F.aggregate(
@@ -158,4 +161,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return unpack(out, docs.columns, needed)

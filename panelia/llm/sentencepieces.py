@@ -10,8 +10,7 @@ batch is encoded once.  Encodings are decoded and compared with the whole text,
 ``verify_every``-th document (by a hash of its id) compared with those of the sentencepiece library.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded one by
-one; all columns of the documents stay, and of added ones only names that the documents don't have
-already are added (a clash is an error).
+one; all columns of the documents stay, and an added column whose name is taken gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -27,11 +26,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free_name, pack, unpack
 from .words import bound_batches, encode, slices, tidy
 
 MARK = "▁"
+#: Chunks that the library encodes at a time.
+BATCH = 1 << 14
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -146,17 +149,22 @@ class Codec:
             return np.fromiter(itertools.chain.from_iterable(ids), np.int32), offsets, pa.array(self.tokenizer.decode_batch(ids, skip_special_tokens=False), pa.large_string())
         owner, chunks, back = chunked(texts)
         codes, dictionary = encode(chunks)
-        found = [e.ids for e in self.chunks.encode_batch_fast(dictionary.to_pylist(), add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
+        parts, sizes_of, spelled = [], [], []
+        for i in range(0, len(dictionary), BATCH):  # encodings are large while they live
+            found = [e.ids for e in self.chunks.encode_batch_fast(dictionary.slice(i, BATCH).to_pylist(), add_special_tokens=False)]
+            sizes_of.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter(itertools.chain.from_iterable(found), np.int32))
+            spelled.append(pa.array(self.chunks.decode_batch(found, skip_special_tokens=False), pa.string()))
+        size = np.concatenate([np.empty(0, np.int64), *sizes_of])
+        flat = np.concatenate([np.empty(0, np.int32), *parts])
         start = np.cumsum(size) - size
         sizes = size[codes]
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start[codes], sizes)
         by_text = np.bincount(owner, sizes, len(texts)).astype(np.int64) if len(owner) else np.zeros(len(texts), np.int64)
-        decoded = pa.array(self.chunks.decode_batch(found, skip_special_tokens=False), pa.large_string()) if found else pa.array([], pa.large_string())
-        lists = pa.ListArray.from_arrays(pa.array(back, pa.int32()), decoded.cast(pa.string()).take(pa.array(codes)))
+        decoded = pa.concat_arrays(spelled) if spelled else pa.array([], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(back, pa.int32()), decoded.take(pa.array(codes)))
         # the prefix's space goes
-        text = pc.utf8_slice_codeunits(pc.binary_join(lists, ""), 1).cast(pa.large_string()) if len(lists) else decoded
+        text = pc.utf8_slice_codeunits(pc.binary_join(lists, ""), 1).cast(pa.large_string()) if len(lists) else texts
         return flat[at], np.concatenate([[0], np.cumsum(by_text)]), text
 
     def decode_ids(self, ids: list[list[int]]) -> list[str]:
@@ -202,10 +210,10 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int
     bound_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one model file
+    needed = ("doc_id", "text")
+    docs, columns = pack(docs, *needed), docs.columns
     names = docs.columns
     added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())]
-    if clash := {f.name for f in added} & set(names):
-        raise ValueError(f"the documents have columns {sorted(clash)} already")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +232,8 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(offsets)), pc.equal(decoded, texts), pa.array(parity, pa.bool_())], names=[*names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    found = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return unpack(found, columns, needed, *(F.col(f.name).alias(free_name(f.name, columns)) for f in added))
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL, column: str = "ids") -> DataFrame:

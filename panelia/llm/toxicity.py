@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import pack, stored, unpack
 from .words import as_string, bound_batches, encode, hash_strings, signed, slices, tidy
 
 EDGE = ".,;:!?|\"'()[]{}<>*_-"
@@ -289,5 +289,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s: Settings = Settings()) -> DataFrame:
-    """The documents whose score stays below ``threshold``."""
-    return score(docs, fit(docs, labels, s)).where(F.col("toxicity") < threshold).drop("toxicity")
+    """The documents whose score stays below ``threshold``, with all their columns."""
+    needed = ("doc_id", "text")
+    scored = score(pack(docs, *needed), fit(docs.select(*needed), labels, s))
+    return unpack(scored.where(F.col("toxicity") < threshold), docs.columns, needed)
