@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bits import bitmap, maybe
 from .components import components
-from .shared import pack, stored, unpack
+from .shared import Held, pack, stored, unpack
 from .words import BASE, as_string, bound_batches, hash_words, mix, ngram_hashes, signed, slices, split_words, tidy
 
 NODE_BITS = 25
@@ -153,7 +153,7 @@ def sketches(owner: np.ndarray, grams: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 class Join:
-    """The stages of one join; tables that are used twice are written to the shared folder."""
+    """The stages of one join; tables that are used twice are held until the components are written to the shared folder."""
 
     def __init__(self, docs: DataFrame, settings: Settings):
         self.s = settings
@@ -161,6 +161,7 @@ class Join:
         self.kind = self.docs.schema["doc_id"].dataType.simpleString()
         bound_batches(docs.sparkSession, 8)
         self.spark = docs.sparkSession
+        self.held = Held()
 
     def rows(self) -> DataFrame:
         """(doc_id, key, n, node) of every row; node null where the set is empty."""
@@ -173,7 +174,7 @@ class Join:
                     n, ids = node_ids(*shingle_sets(part.column("text"), k), part.num_rows)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n), pa.array(signed(ids), mask=n == 0)], names=["doc_id", "key", "n", "node"])
 
-        return stored(self.docs.mapInArrow(run, f"doc_id {self.kind}, key long, n long, node long"), "jaccard-rows")
+        return stored(self.docs.mapInArrow(run, f"doc_id {self.kind}, key long, n long, node long"), "jaccard-rows", narrow=True)
 
     def candidates(self) -> DataFrame:
         """(sig, a, na, b, nb): b is the least node of a's bucket (or of its part in a slice), and not a."""
@@ -214,12 +215,12 @@ class Join:
         # pairs that a slice has found pass through, spread over the partitions
         bucket = Window.partitionBy("at", F.col("b").isNull()).orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         head = sent.select("sig", "a", "na", F.coalesce("b", F.first("a").over(bucket)).alias("b"), F.coalesce("nb", F.first("na").over(bucket)).alias("nb"))
-        return stored(head.where("a <> b"), "jaccard-candidates")
+        return self.held(head.where("a <> b"))
 
     def sets(self, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         """(node, n, grams, sketch words) of the given nodes, each from one of its documents."""
         chosen = rows.join(nodes, "node").groupBy("node").agg(F.min(F.xxhash64("doc_id", "key")).alias("h"))
-        wanted = stored(chosen, "jaccard-nodes")
+        wanted = self.held(chosen)
         shared = self.spark.sparkContext.broadcast(bitmap(wanted, "h", NODE_BITS))
         k = self.s.words
         names = ["id", "n", "grams", *(f"s{i}" for i in range(SKETCH))]
@@ -240,7 +241,7 @@ class Join:
 
         found = self.docs.withColumn("h", F.xxhash64("doc_id", "key")).mapInArrow(run, "id long, n long, grams array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
         exact = found.join(wanted, F.col("id") == F.col("node")).drop("id", "h").dropDuplicates(["node"])
-        return stored(exact, "jaccard-sets")
+        return self.held(exact)
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
@@ -256,19 +257,19 @@ class Join:
     def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """The members of buckets that hold several components, with their components."""
         named = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-        named = stored(named, "jaccard-members")
+        named = self.held(named)
         mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        return stored(named.join(mixed, "sig"), "jaccard-mixed")
+        return self.held(named.join(mixed, "sig"))
 
     def link_components(self, rows: DataFrame) -> DataFrame:
         """(node, comp) of the nodes that have links."""
         found = self.candidates()
         nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
         sets = self.sets(nodes, rows)
-        checked = stored(found.where(self.alike("na", "nb")).select("a", "b").distinct(), "jaccard-pairs")
-        edges = stored(self.links(checked, sets), "jaccard-links")
+        checked = self.held(found.where(self.alike("na", "nb")).select("a", "b").distinct())
+        edges = self.held(self.links(checked, sets))
         labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        members = stored(found.select("sig", "a", F.col("na").alias("n")).unionByName(found.select("sig", F.col("b").alias("a"), F.col("nb").alias("n"))).distinct(), "jaccard-buckets")
+        members = self.held(found.select("sig", "a", F.col("na").alias("n")).unionByName(found.select("sig", F.col("b").alias("a"), F.col("nb").alias("n"))).distinct())
         mixed = self.across(members, labels)
         if mixed.isEmpty():
             return labels
@@ -277,20 +278,20 @@ class Join:
         again = mixed.join(pivot, "sig").where(F.col("comp") != F.col("p.comp")).select(F.least("a", F.col("p.a")).alias("x"), F.greatest("a", F.col("p.a")).alias("y"), "n", F.col("p.n").alias("m"))
         again = again.where(self.alike("n", "m")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        again = stored(again.join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
-        edges = stored(edges.unionByName(self.links(again, sets)), "jaccard-links")
+        again = self.held(again.join(known, ["a", "b"], "left_anti"))
+        edges = self.held(edges.unionByName(self.links(again, sets)))
         labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         mixed = self.across(members, labels)
         if mixed.isEmpty():
             return labels
         sketch = [f"s{i}" for i in range(SKETCH)]
-        marked = stored(mixed.join(sets.select(F.col("node").alias("a"), *sketch), "a"), "jaccard-marked")
+        marked = self.held(mixed.join(sets.select(F.col("node").alias("a"), *sketch), "a"))
         other = marked.select("sig", *(F.col(c).alias(f"_{c}") for c in ["a", "n", "comp", *sketch]))
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in sketch), F.lit(0))
         close = apart <= F.floor((F.col("n") + F.col("_n")) * (self.s.den - self.s.num) / (self.s.den + self.s.num))
         last = marked.join(other, "sig").where((F.col("a") < F.col("_a")) & (F.col("comp") != F.col("_comp")) & self.alike("n", "_n") & close)
         last = last.select("a", F.col("_a").alias("b")).distinct().join(known.unionByName(again), ["a", "b"], "left_anti")
-        new = stored(self.links(last, sets), "jaccard-links")
+        new = self.held(self.links(last, sets))
         if new.isEmpty():
             return labels
         return components(edges.unionByName(new).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -303,6 +304,7 @@ class Join:
         tops = linked.join(classes, "node").groupBy("comp").agg(F.min("least").alias("top"))
         final = linked.join(tops, "comp").select("node", "top")
         names = stored(classes.join(final, "node", "left").select("node", F.coalesce("top", "least").alias("component_id")), "jaccard-names")
+        self.held.release()
         return rows.join(names, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

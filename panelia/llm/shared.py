@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +19,34 @@ def shared_folder(spark: SparkSession) -> str:
     return name.rstrip("/")
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The rows of ``frame``, written once and read back."""
+def stored(frame: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """The rows of ``frame``, written once and read back.
+
+    ``narrow``: rows are few bytes of what their tasks read, and are dealt into files by their own size.
+    """
+    if narrow:
+        frame = frame.hint("rebalance")
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Held:
+    """Tables that later steps read again, on the executors' disks; Spark makes lost parts anew from their lineage."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, frame: DataFrame) -> DataFrame:
+        self.frames.append(frame.persist(StorageLevel.DISK_ONLY))
+        return frame
+
+    def release(self) -> None:
+        for frame in self.frames:
+            frame.unpersist()
+        self.frames.clear()
+
+
 REST = "rest_of_row"
 
 
