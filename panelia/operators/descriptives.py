@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelia.sources.panel import STATUSES
 
-ORDER = Window.partitionBy("subject_id").orderBy("time_min")
+def in_time() -> WindowSpec:
+    """A subject's minutes in order."""
+    return Window.partitionBy("subject_id").orderBy("time_min")
 
 
 def observed(panel: DataFrame) -> DataFrame:
@@ -27,8 +29,8 @@ def mean(x: Column) -> Column:
 
 def with_previous(frame: DataFrame) -> DataFrame:
     """Observed rows with the value of the minute before (NULL across a gap)."""
-    near = F.col("time_min") - F.lag("time_min").over(ORDER) == 1
-    return observed(frame).withColumn("previous", F.when(near, F.lag("vas").over(ORDER)))
+    near = F.col("time_min") - F.lag("time_min").over(in_time()) == 1
+    return observed(frame).withColumn("previous", F.when(near, F.lag("vas").over(in_time())))
 
 
 def time_counts(panel: DataFrame) -> DataFrame:
@@ -38,8 +40,8 @@ def time_counts(panel: DataFrame) -> DataFrame:
 def subject_summary(panel: DataFrame) -> DataFrame:
     """Descriptives and adjacent area of each subject: gaps are not bridged, a subject without scores has NULLs."""
     is_observed = F.col("status") == "observed"
-    near = is_observed & (F.lag("status").over(ORDER) == "observed") & (F.col("time_min") - F.lag("time_min").over(ORDER) == 1)
-    rows = panel.withColumn("x", F.when(is_observed, F.col("vas"))).withColumn("p", F.when(near, F.lag("vas").over(ORDER)))
+    near = is_observed & (F.lag("status").over(in_time()) == "observed") & (F.col("time_min") - F.lag("time_min").over(in_time()) == 1)
+    rows = panel.withColumn("x", F.when(is_observed, F.col("vas"))).withColumn("p", F.when(near, F.lag("vas").over(in_time())))
     rows = rows.withColumn("d", F.col("x") - F.col("p"))
     t = F.when(is_observed, F.col("time_min"))
     marker = F.col("status").startswith("termination_")
@@ -89,8 +91,8 @@ def finite_changes(panel: DataFrame, horizons: tuple[int, ...] = (1, 2, 5)) -> D
     """Changes over h minutes, only where every minute between is observed."""
     parts = None
     for h in horizons:
-        frame = ORDER.rowsBetween(0, h)
-        whole = (F.count(F.when(F.col("status") == "observed", 1)).over(frame) == h + 1) & (F.lead("time_min", h).over(ORDER) - F.col("time_min") == h)
-        part = panel.select("subject_id", "time_min", F.lit(h).alias("h"), F.when(whole, F.lead("vas", h).over(ORDER) - F.col("vas")).alias("change")).where("change is not null")
+        frame = in_time().rowsBetween(0, h)
+        whole = (F.count(F.when(F.col("status") == "observed", 1)).over(frame) == h + 1) & (F.lead("time_min", h).over(in_time()) - F.col("time_min") == h)
+        part = panel.select("subject_id", "time_min", F.lit(h).alias("h"), F.when(whole, F.lead("vas", h).over(in_time()) - F.col("vas")).alias("change")).where("change is not null")
         parts = part if parts is None else parts.unionByName(part)
     return parts

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelia.sources.panel import ContractError
+from panelia.sources.shared import written
 
 
 def require_empty(bad: DataFrame, what: str) -> None:
@@ -113,18 +114,20 @@ def supported_times(times: DataFrame, own: DataFrame, competing: DataFrame, keys
     return semi(semi(asked, own, "left_semi"), competing, "left_anti").drop("_k")
 
 
-def canonical_ids(aliases: DataFrame, source: str = "alias", target: str = "canonical", rounds: int = 64) -> DataFrame:
-    """(alias, canonical) with chains followed to their end, by pointer jumping; a cycle is an error."""
-    ends = aliases.select(F.col(source).alias("a"), F.col(target).alias("c")).distinct()
+def canonical_ids(aliases: DataFrame, source: str = "alias", target: str = "canonical") -> DataFrame:
+    """(alias, canonical) with chains followed to their end, by pointer jumping; a cycle is an error.
+
+    A round doubles the steps, so that a chain of n aliases ends after log2(n) + 1 rounds; what goes on is a cycle.
+    """
+    ends = written(aliases.select(F.col(source).alias("a"), F.col(target).alias("c")).distinct(), "aliases")
     require_empty(ends.groupBy("a").count().where("count > 1"), "an alias with two targets")
-    for _ in range(rounds):
+    for _ in range(ends.count().bit_length() + 1):
         nxt = ends.select(F.col("a").alias("n"), F.col("c").alias("d"))
         joined = ends.join(nxt, F.col("c") == F.col("n"), "left")
-        require_empty(joined.where("a = d"), "a cycle of aliases")
         if joined.where("d is not null").isEmpty():
             return ends.select(F.col("a").alias(source), F.col("c").alias(target))
-        ends = joined.select("a", F.coalesce("d", "c").alias("c"))
-    raise ContractError("a chain of aliases doesn't end")
+        ends = written(joined.select("a", F.coalesce("d", "c").alias("c")), "aliases")
+    raise ContractError("a cycle of aliases")
 
 
 def numeric_suffix(text: Column) -> Column:

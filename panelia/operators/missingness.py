@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelia.operators.descriptives import ORDER, mean, observed
+from panelia.operators.descriptives import in_time, mean, observed
 
 
 def classified(panel: DataFrame) -> DataFrame:
     """Rows with their analysis category."""
     category = (
         F.when(F.col("status").isin("observed", "termination_E", "termination_T"), F.col("status"))
-        .when(F.max(F.when(F.col("status").startswith("termination_"), 1)).over(ORDER.rowsBetween(Window.unboundedPreceding, -1)) == 1, "post_termination_missing")
+        .when(F.max(F.when(F.col("status").startswith("termination_"), 1)).over(in_time().rowsBetween(Window.unboundedPreceding, -1)) == 1, "post_termination_missing")
         .otherwise("pre_marker_missing")
     )
     return panel.withColumn("category", category)
@@ -29,7 +29,7 @@ def classify_subjects(panel: DataFrame) -> DataFrame:
     """Counts by category, the longest gap before the marker, and the pattern of each subject."""
     rows = classified(panel)
     gap = F.col("category") == "pre_marker_missing"
-    run = F.when(gap, F.col("time_min") - F.coalesce(F.max(F.when(~gap, F.col("time_min"))).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)), F.min("time_min").over(Window.partitionBy("subject_id")) - 1)).otherwise(0)
+    run = F.when(gap, F.col("time_min") - F.coalesce(F.max(F.when(~gap, F.col("time_min"))).over(in_time().rowsBetween(Window.unboundedPreceding, 0)), F.min("time_min").over(Window.partitionBy("subject_id")) - 1)).otherwise(0)
     marker = F.col("status").startswith("termination_")
     return rows.withColumn("_run", run).groupBy("subject_id").agg(
         F.coalesce(F.min_by(F.when(marker, F.col("termination_code")), F.when(marker, F.col("time_min"))), F.lit("none")).alias("eventual_marker"),
@@ -48,9 +48,9 @@ def adjacent_composition(panel: DataFrame, minutes: range = range(1, 21)) -> Dat
 
     A subject's next minute is looked up by a window, so that the panel is not joined with itself.
     """
-    nxt = F.lead("vas").over(ORDER)
-    follows = F.lead("time_min").over(ORDER) == F.col("time_min") + 1
-    rows = panel.select("subject_id", "time_min", F.when(F.col("status") == "observed", F.col("vas")).alias("x"), F.when(follows & (F.lead("status").over(ORDER) == "observed"), nxt).alias("y"))
+    nxt = F.lead("vas").over(in_time())
+    follows = F.lead("time_min").over(in_time()) == F.col("time_min") + 1
+    rows = panel.select("subject_id", "time_min", F.when(F.col("status") == "observed", F.col("vas")).alias("x"), F.when(follows & (F.lead("status").over(in_time()) == "observed"), nxt).alias("y"))
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     rows = rows.where(F.col("time_min") < minutes.stop - 1).groupBy(F.col("time_min").alias("start_min")).agg(
         F.count("x").alias("n_start"),
@@ -79,18 +79,18 @@ def state_points(panel: DataFrame, thresholds: list[float]) -> DataFrame:
 
 def state_transitions(points: DataFrame) -> DataFrame:
     """Counts of transitions between neighbouring minutes."""
-    near = F.col("time_min") - F.lag("time_min").over(ORDER) == 1
-    rows = points.select(F.when(near, F.lag("state").over(ORDER)).alias("from_state"), F.col("state").alias("to_state")).where("from_state is not null")
+    near = F.col("time_min") - F.lag("time_min").over(in_time()) == 1
+    rows = points.select(F.when(near, F.lag("state").over(in_time())).alias("from_state"), F.col("state").alias("to_state")).where("from_state is not null")
     return rows.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 
 
 def state_spells(points: DataFrame) -> DataFrame:
     """Runs of one state over neighbouring minutes, with what bounds them on both sides."""
-    near = F.col("time_min") - F.lag("time_min").over(ORDER) == 1
-    far = F.lead("time_min").over(ORDER) - F.col("time_min")
+    near = F.col("time_min") - F.lag("time_min").over(in_time()) == 1
+    far = F.lead("time_min").over(in_time()) - F.col("time_min")
     rows = points.withColumn("adjacent", F.coalesce(near, F.lit(False)))
-    rows = rows.withColumn("begins", ~F.col("adjacent") | (F.lag("state").over(ORDER) != F.col("state"))).withColumn("far", far)
-    rows = rows.withColumn("spell", F.sum(F.col("begins").cast("int")).over(ORDER))
+    rows = rows.withColumn("begins", ~F.col("adjacent") | (F.lag("state").over(in_time()) != F.col("state"))).withColumn("far", far)
+    rows = rows.withColumn("spell", F.sum(F.col("begins").cast("int")).over(in_time()))
     out = rows.groupBy("subject_id", "spell", "state").agg(
         F.min("time_min").alias("start_min"), F.max("time_min").alias("end_min"), F.count("*").alias("n_observed"), (~F.min_by("adjacent", "time_min")).alias("left_censored"), F.max_by("far", "time_min").alias("_far")
     )

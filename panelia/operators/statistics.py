@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelia.operators.descriptives import ORDER, mean
+from panelia.operators.descriptives import in_time, mean
 
 
 def quantile_linear(x: Column, p: float) -> Column:
@@ -153,7 +153,7 @@ def block_support(panel: DataFrame, size: int = 5, least: int = 3) -> DataFrame:
 
 def lagged_features(panel: DataFrame) -> DataFrame:
     """Three consecutive scores before each observed score: training rows of the next-score task."""
-    back = lambda k: F.when((F.lag("status", k).over(ORDER) == "observed") & (F.lag("time_min", k).over(ORDER) == F.col("time_min") - k), F.lag("vas", k).over(ORDER))
+    back = lambda k: F.when((F.lag("status", k).over(in_time()) == "observed") & (F.lag("time_min", k).over(in_time()) == F.col("time_min") - k), F.lag("vas", k).over(in_time()))
     rows = panel.select("subject_id", "time_min", "status", back(3).alias("x1"), back(2).alias("x2"), back(1).alias("x3"), F.col("vas").alias("y"))
     return rows.where("status = 'observed' and x1 is not null and x2 is not null and x3 is not null").drop("status")
 

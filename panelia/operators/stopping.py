@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelia.operators.descriptives import ORDER, mean
+from panelia.operators.descriptives import in_time, mean
 from panelia.sources.panel import ContractError, Scale
 
 
@@ -13,7 +13,7 @@ def audit_stopping(panel: DataFrame, processed_e: bool = False) -> DataFrame:
     """First marker of each subject, the two values before it, and what supports an E."""
     marker = F.col("status").isin("termination_E", "termination_T")
     seen = F.col("status") == "observed"
-    back = lambda k: F.when((F.lag("status", k).over(ORDER) == "observed") & (F.lag("time_min", k).over(ORDER) == F.col("time_min") - k), F.lag("vas", k).over(ORDER))
+    back = lambda k: F.when((F.lag("status", k).over(in_time()) == "observed") & (F.lag("time_min", k).over(in_time()) == F.col("time_min") - k), F.lag("vas", k).over(in_time()))
     zero_pair = seen & (F.col("vas") == 0) & (back(1) == 0)
     rows = panel.withColumn("b1", back(1)).withColumn("b2", back(2)).withColumn("zp", F.coalesce(zero_pair, F.lit(False)))
     t = F.when(seen, F.col("time_min"))
