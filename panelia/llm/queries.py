@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, lm, media, mixing, neighbours, secrets, sentencepieces, substrings, toxicity
+from . import jaccard, licenses, lm, media, mixing, neighbours, oracles, secrets, sentencepieces, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_jaccard_join": oracles.JACCARD, "op9_substring_dedup": oracles.SUBSTRINGS}
