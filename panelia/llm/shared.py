@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +30,6 @@ def stored(frame: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-class Held:
-    """Tables that later steps read again, on the executors' disks; Spark makes lost parts anew from their lineage."""
-
-    def __init__(self):
-        self.frames: list[DataFrame] = []
-
-    def __call__(self, frame: DataFrame) -> DataFrame:
-        self.frames.append(frame.persist(StorageLevel.DISK_ONLY))
-        return frame
-
-    def release(self) -> None:
-        for frame in self.frames:
-            frame.unpersist()
-        self.frames.clear()
-
-
 REST = "rest_of_row"
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Held, pack, unpack
+from .shared import pack, stored, unpack
 from .words import as_string, bound_batches, encode, hash_strings, signed, slices, tidy
 
 EDGE = ".,;:!?|\"'()[]{}<>*_-"
@@ -228,11 +228,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Terms are counted and screened on the executors; only the sample's known words come to the driver."""
     spark = docs.sparkSession
     bound_batches(spark)
-    held = Held()
-    rows = held(sample(docs, labels, s))
+    rows = stored(sample(docs, labels, s), "tox-sample", narrow=True)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        held.release()
         return constant(np.repeat([0.0, 1.0], [sizes.get(0, 0), sizes.get(1, 0)]), s)
 
     @tidy
@@ -259,7 +257,6 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     known = rows.mapInArrow(keep, f"doc_id {kind}, toxic int, words array<string>").withColumn("words", F.array_sort("words")).orderBy("doc_id", F.hash("words")).toArrow()
-    held.release()
     return train(known["words"].combine_chunks(), np.asarray(known["toxic"]).astype(np.float64), terms, s)
 
 
