@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelia.plans import joins, kernels, panels, scalars, statistics
+from panelia.plans import joins, kernels, panels, records, scalars, statistics
 
-MODULES = (panels, joins, scalars, statistics, kernels)
+MODULES = (panels, joins, scalars, statistics, records, kernels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
