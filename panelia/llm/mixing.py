@@ -9,7 +9,7 @@ While no source has run dry, each has had its share of the slots to within less
 
 ``schedule`` gives every document the block in which it begins, with the block's window and slot; ``in_mix``
 tells whether the slot comes before the horizon, at which sources that hold ``coverage`` of the target weight
-have run dry: what is left then is the surplus of over-represented sources, which no order could mix.
+have run dry (their turn comes and no block is left): what is left then is the surplus of over-represented sources, which no order could mix.
 ``interleave`` returns the documents of the mix, in the order of the schedule.
 
 Without explicit ``weights``, targets are the sources' sizes to the power ``alpha``, normalised; with them,
@@ -111,8 +111,9 @@ def schedule(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     slots: dict = {}
     for name, _, slot in table:
         slots.setdefault(name, []).append(slot)
-    dry = sorted((block_slot(r["last"] // s.block_chars, quota[r["source"]], period, slots[r["source"]]), quota[r["source"]]) for r in found if r["source"] in quota)
-    held, horizon = 0, -1
+    # a source has run dry when the turn of the block after its last one comes
+    dry = sorted((block_slot(r["last"] // s.block_chars + 1, quota[r["source"]], period, slots[r["source"]]), quota[r["source"]]) for r in found if r["source"] in quota)
+    held, horizon = 0, 0
     for at, q in dry:
         held, horizon = held + q, at
         if held >= s.coverage * period:
@@ -127,7 +128,7 @@ def schedule(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     slot = (F.expr("block div q") * period + F.col("at")).alias("slot")
     release = F.expr(f"(block * {period}) div q").alias("release")
     deadline = F.expr(f"((block + 1) * {period} + q - 1) div q").alias("deadline")
-    return found.select("doc_id", "source", "h", "before", "block", release, deadline, slot).withColumn("in_mix", F.col("slot") <= horizon)
+    return found.select("doc_id", "source", "h", "before", "block", release, deadline, slot).withColumn("in_mix", F.col("slot") < horizon)
 
 
 def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
