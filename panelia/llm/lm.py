@@ -12,7 +12,8 @@ where delta(state, w) = log P(w | state) - log P(w) - backoff(state): weights ar
 adds terms of one key each.  Hence the automaton can be dealt into shards by key: a shard, at most
 ``shard_entries`` words and arcs, is broadcast; larger models take several passes, whose sums are the same.
 
-Counting is one map-side combined aggregation for words and one for bigrams.  Keys are 64-bit hashes.
+Counting is one map-side combined aggregation for words and one for bigrams of words that are frequent enough.
+Keys are 64-bit hashes.
 
 Defined cases: a null or empty text has the end mark only; without training documents every token has
 probability 1 in both models' formulas (N = V = 0); repeated rows are scored (and counted) one by one; other
@@ -31,9 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bits import bitmap, maybe
 from .shared import stored
 from .words import BASE, as_string, bound_batches, encode, hash_strings, mix, release, signed, slices, split_words, tidy
 
+#: Bits of the map of frequent words: 16 MB, whatever the data; false positives only cost work.
+WORD_BITS = 27
 END = hash_strings(pa.array(["end of text"]), seed=1)[0]
 
 
@@ -127,9 +131,10 @@ def counter(keys_of: Callable, names: list[str], flush: int = 1_000_000) -> Call
     return run
 
 
-def following(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring tokens of one text."""
-    at = np.flatnonzero(owner[1:] == owner[:-1])
+def following(owner: np.ndarray, hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring tokens of one text, both of which the bitmap holds."""
+    known = maybe(frequent, hashes)
+    at = np.flatnonzero((owner[1:] == owner[:-1]) & known[1:] & known[:-1])
     return hashes[at], hashes[at + 1]
 
 
@@ -158,7 +163,9 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     count = lambda f, names: training.mapInArrow(counter(f, [*names, "n"]), ", ".join(f"{x} long" for x in [*names, "n"]))
     words = stored(count(lambda o, h: (h,), ["h"]).groupBy("h").agg(F.sum("n").alias("c")), "lm-words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    pairs = count(following, ["h1", "h2"]).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= s.min_count)
+    # a bigram is no more frequent than its words: pairs with a rarer word needn't be counted
+    frequent = docs.sparkSession.sparkContext.broadcast(bitmap(words.where(F.col("c") >= s.min_count), "h", WORD_BITS))
+    pairs = count(lambda o, h: following(o, h, frequent.value), ["h1", "h2"]).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= s.min_count)
     total = sums["n"] + s.add * (sums["v"] + 1)
     given = pairs.join(words.select(F.col("h").alias("h1"), F.col("c").alias("c1")), "h1")
     both = given.join(words.select(F.col("h").alias("h2"), F.col("c").alias("c2")), "h2")
