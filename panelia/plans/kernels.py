@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelia.operators import clusters, kernels, prediction, statistics
+from panelia.operators import clusters, kernels, prediction, resampling, statistics
 from panelia.plans.common import panel, table
 
 
@@ -54,6 +54,15 @@ def prediction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prediction.error_table(prediction.held_out_predictions(f, "subject_id", ["x1", "x2", "x3", "time_min"], "x3", folds=3, trees=10), "subject_id")
 
 
+def endpoint_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.endpoint_precision(kernels.bootstrap_minutes(panel(spark, sf_dir), 20261003, "observation", 200), "time_min", "mean")
+
+
+def component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, grid = clusters.curves(panel(spark, sf_dir), 5), [1.0, 2.0, 3.0, 4.0, 5.0]
+    return resampling.component_scores(c, "subject_id", "y", grid, resampling.curve_components(c, "y", grid, 2))
+
+
 def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.stability(panel(spark, sf_dir), 4, "dtw_medoids", 2, 24, 5)
 
@@ -62,5 +71,5 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.large_kmeans(panel(spark, sf_dir), 4, 2, 5)
 
 
-QUERIES = {f.__name__: f for f in (matched_trains, anchored_gaps, edge_clusters, welch_summary, bootstrap_intervals, poisson_intervals, fixed_effects, prediction_errors, cluster_stability, cluster_labels)}
+QUERIES = {f.__name__: f for f in (matched_trains, anchored_gaps, edge_clusters, welch_summary, bootstrap_intervals, poisson_intervals, fixed_effects, prediction_errors, cluster_stability, cluster_labels, endpoint_precision, component_scores)}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelia.functions import names
-from panelia.operators import admission, waveforms
+from panelia.operators import admission, resampling, waveforms
 from panelia.plans.common import table
 
 
@@ -64,7 +64,16 @@ def recording_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", r["date"].cast("string").alias("date"), r["code"].alias("code"), r["label"].alias("label"), r["stage"].alias("stage"))
 
 
-QUERIES = {f.__name__: f for f in (admitted_orders, flag_states, baseline_rows, presence, waveform_summary, pulses, decimation, epochs, recording_names)}
+def observed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 > 0, F.round(F.col("value") * 100).cast("long")).alias("v"))
+    return resampling.observed_intervals(e, "user_id", "event_id", "v")
+
+
+def job_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.job_roster(spark, ["a", "b", "c"], 1050, 100)
+
+
+QUERIES = {f.__name__: f for f in (admitted_orders, flag_states, baseline_rows, presence, waveform_summary, pulses, decimation, epochs, recording_names, observed_intervals, job_roster)}
 ORACLES = {
     "admitted_orders": """SELECT o_orderkey, reason, reason IS NULL AS admitted, concat_ws(',', a, b, c) AS reasons FROM (SELECT o_orderkey, a, b, c, coalesce(a, b, c) AS reason FROM (
       SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' END AS a, CASE WHEN o_orderpriority LIKE '5%' THEN 'low priority' END AS b, CASE WHEN o_totalprice < 1000 THEN 'small' END AS c FROM orders))""",
@@ -82,4 +91,8 @@ ORACLES = {
     "epochs": """WITH e AS (SELECT user_id, event_id AS t, round(value) AS x FROM events WHERE event_type = 'view'), k AS (SELECT user_id, x, unnest(range(greatest(0, CAST(floor((t - 2000) / 1000.0) AS BIGINT) + 1), t // 1000 + 1)) AS epoch FROM e)
       SELECT user_id, epoch, count(*) AS n, median(x) AS median, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM k GROUP BY user_id, epoch""",
     "recording_names": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS code, CASE WHEN o_orderkey % 3 > 0 THEN 'ab' END AS label, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS stage FROM orders""",
+    "observed_intervals": """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row, CASE WHEN event_id % 3 > 0 THEN CAST(round(value * 100) AS BIGINT) END AS v FROM events),
+      k AS (SELECT user_id, row, lag(row) OVER w AS previous_row, v - lag(v) OVER w AS interval FROM r WHERE v IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY row))
+      SELECT *, row - previous_row - 1 AS skipped FROM k WHERE previous_row IS NOT NULL""",
+    "job_roster": "SELECT CAST(c.i * 11 + b.s // 100 AS INTEGER) AS job, c.cell, CAST(b.s AS INTEGER) AS start, CAST(least(b.s + 100, 1050) AS INTEGER) AS stop FROM (VALUES (0, 'a'), (1, 'b'), (2, 'c')) c(i, cell), (SELECT unnest(range(0, 1050, 100)) AS s) b",
 }

@@ -236,3 +236,25 @@ def test_template_subtraction():
     assert changed > 0.9 * len(events) and np.square(out - clean).mean() < 0.1 * np.square(x - clean).mean()
     same, none = signal.subtract_template(clean, events, template, 100)
     assert none <= len(events) and same.shape == clean.shape
+
+
+def test_components_from_sums(spark):
+    from panelia.operators import resampling
+
+    rng = np.random.default_rng(6)
+    grid = [1.0, 2.0, 4.0, 7.0]
+    y = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4)) + 5
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(y)] + [(99, [1.0, None, 2.0, 3.0])], "id long, y array<double>")
+    got, want = resampling.curve_components(frame, "y", grid, 3), functional.components(y, grid, 3)
+    assert got.people == 40 and got.values == pytest.approx(want.values) and got.phi == pytest.approx(want.phi, abs=1e-8) and got.explained == pytest.approx(want.explained)
+    scores = {r["id"]: r for r in resampling.component_scores(frame.where("id < 40"), "id", "y", grid, got).collect()}
+    assert [scores[i]["score_2"] for i in range(40)] == pytest.approx(want.scores[:, 1], abs=1e-8)
+
+
+def test_endpoints(spark):
+    from panelia.operators import resampling
+
+    frame = spark.createDataFrame([("a", float(i)) for i in range(1, 201)], "k string, v double")
+    rows = resampling.endpoint_precision(frame, "k", "v", gamma=0.05).orderBy("probability").collect()
+    r, s = distributions.rank_interval(200, 0.025, 0.05)
+    assert rows[0]["estimate"] == 5 and rows[0]["low"] == (r or None) and rows[0]["high"] == s and rows[1]["estimate"] == 195
