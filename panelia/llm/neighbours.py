@@ -35,6 +35,7 @@ class Settings:
     k: int = 10
     degree: int = 32
     beam: int = 64
+    search_beam: int = 160
     alpha: float = 1.2
     batch: int = 512
     shard_rows: int = 8192
@@ -177,7 +178,7 @@ def search_shard(index: Index, query_ids: np.ndarray, queries: np.ndarray, s: Se
     block = max(1, min(len(queries), (64 << 20) // max(1, len(points))))
     for a in range(0, len(queries), block):
         q, qi = queries[a : a + block], query_ids[a : a + block]
-        found, _ = beam_search(small, norms, graph, entry, q.astype(np.float32), s.beam)
+        found, _ = beam_search(small, norms, graph, entry, q.astype(np.float32), min(s.search_beam, max(len(points), 1)))
         exact = np.sqrt(((points[np.maximum(found, 0)] - q[:, None]) ** 2).sum(2))
         exact = np.where(found >= 0, exact, np.inf)
         # every point stands for its members; k + 1 of the smallest ids suffice
