@@ -120,12 +120,13 @@ def events_panel(events: DataFrame, minutes: int = 20, t_above: int = 20_000, e_
     The first day above ``t_above`` is marker T, below ``e_below`` marker E; what follows is post_termination.
     Two shuffles: the day's last event (map-side combined), and at most ``minutes`` rows a subject.
     """
-    day = F.dayofmonth("ts")
-    last = events.where(day <= minutes).groupBy("user_id", day.alias("m")).agg(F.max_by(F.round(F.col("value") * 100).cast("long"), F.struct("ts", "event_id")).alias("c"))
-    by_minute = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("m", "c"))).alias("days"))
+    # the key is cast first, so that what follows by subject needs no further shuffle
+    keyed = events.select(F.col("user_id").cast("string").alias("subject_id"), F.dayofmonth("ts").alias("m"), F.round(F.col("value") * 100).cast("long").alias("c"), "ts", "event_id")
+    last = keyed.where(F.col("m") <= minutes).groupBy("subject_id", "m").agg(F.max_by("c", F.struct("ts", "event_id")).alias("c"))
+    by_minute = last.groupBy("subject_id").agg(F.map_from_entries(F.collect_list(F.struct("m", "c"))).alias("days"))
     marker = lambda c: (c > t_above) | (c < e_below)
     first = F.array_min(F.map_keys(F.map_filter("days", lambda m, c: marker(c))))
-    spine = by_minute.select(F.col("user_id").cast("string").alias("subject_id"), "days", first.alias("f"), F.explode(F.sequence(F.lit(1), F.lit(minutes))).alias("time_min"))
+    spine = by_minute.select("subject_id", "days", first.alias("f"), F.explode(F.sequence(F.lit(1), F.lit(minutes))).alias("time_min"))
     c = F.try_element_at("days", F.col("time_min"))
     code = F.when(F.try_element_at("days", F.col("f")) > t_above, "T").otherwise("E")
     before = F.col("f").isNull() | (F.col("time_min") < F.col("f"))
