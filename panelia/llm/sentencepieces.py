@@ -222,7 +222,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int
         codec = Codec(shared.value, threads)
         own = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=8 << 20):
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
                 ids, offsets, decoded = codec.encode_texts(texts)
                 chosen = [i for i, x in enumerate(part.column("doc_id").to_pylist()) if zlib.crc32(str(x).encode()) % verify_every == 0]
