@@ -24,7 +24,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix; the surplus of over-represented sources goes."""
+    """All documents, in the order of the mix."""
     return mixing.interleave(docs)
 
 

@@ -8,8 +8,9 @@ the driver computes one period (D is bounded by the number of sources) and any b
 While no source has run dry, each has had its share of the slots to within less than one block.
 
 ``schedule`` gives every document the block in which it begins, with the block's window and slot; ``in_mix``
-tells whether the slot comes before the horizon, at which sources that hold ``coverage`` of the target weight
-have run dry (their turn comes and no block is left): what is left then is the surplus of over-represented sources, which no order could mix.
+tells whether the document is in the mix.  By default every document is.  A caller that gives a ``coverage`` below 1
+ends the mix at the horizon, the slot at which sources that hold that much of the target weight have run dry (their
+turn comes and no block is left); then only sources that hold more than their target share lose documents.
 ``interleave`` returns the documents of the mix, in the order of the schedule.
 
 Without explicit ``weights``, targets are the sources' sizes to the power ``alpha``, normalised; with them,
@@ -38,7 +39,7 @@ class Settings:
     weights: dict[str, float] | None = None
     alpha: float = 0.7
     block_chars: int = 1 << 16
-    coverage: float = 0.5
+    coverage: float = 1.0
     slots: int = 1000
     max_sources: int = 4096
 
@@ -118,17 +119,20 @@ def schedule(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         held, horizon = held + q, at
         if held >= s.coverage * period:
             break
+    # a source that holds no more than its target share has no surplus: it stays whole
+    chars = {r["source"]: r["chars"] for r in found if r["source"] in quota}
+    whole = {k: s.coverage >= 1 or c * period <= quota[k] * sum(chars.values()) for k, c in chars.items()}
     rows = [(name, j, slot, quota[name]) for name, j, slot in table]
     # broadcast: one period, at most max(slots, 20 * max_sources) rows and a few
     period_table = F.broadcast(spark.createDataFrame(rows, "s string, j long, at long, quota long").coalesce(1))
-    quota_table = F.broadcast(spark.createDataFrame([(k, q) for k, q in quota.items()], "qs string, q long").coalesce(1))
+    quota_table = F.broadcast(spark.createDataFrame([(k, q, whole[k]) for k, q in quota.items()], "qs string, q long, whole boolean").coalesce(1))
     block = F.floor(F.col("before") / s.block_chars).cast("long")
     blocks = placed.withColumn("block", block).join(quota_table, F.col("source").eqNullSafe(F.col("qs")))
     found = blocks.withColumn("b", F.col("block") % F.col("q")).join(period_table, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("j")))
     slot = (F.expr("block div q") * period + F.col("at")).alias("slot")
     release = F.expr(f"(block * {period}) div q").alias("release")
     deadline = F.expr(f"((block + 1) * {period} + q - 1) div q").alias("deadline")
-    return found.select("doc_id", "source", "h", "before", "block", release, deadline, slot).withColumn("in_mix", F.col("slot") < horizon)
+    return found.select("doc_id", "source", "h", "before", "block", release, deadline, slot, "whole").withColumn("in_mix", F.col("whole") | (F.col("slot") < horizon)).drop("whole")
 
 
 def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
