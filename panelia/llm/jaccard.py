@@ -296,14 +296,14 @@ class Join:
         return components(edges.unionByName(new).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def run(self) -> DataFrame:
-        """(doc_id, key, n_shingles, node, component_id)."""
+        """(doc_id, key, n_shingles, node, comp, component_id); comp is a node of the component, where ids may be null or repeated."""
         rows = self.rows()
         classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         linked = self.link_components(rows)
         tops = linked.join(classes, "node").groupBy("comp").agg(F.min("least").alias("top"))
-        final = linked.join(tops, "comp").select("node", "top")
-        names = stored(classes.join(final, "node", "left").select("node", F.coalesce("top", "least").alias("component_id")), "jaccard-names")
-        return rows.join(names, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        final = linked.join(tops, "comp").select("node", "comp", "top")
+        names = stored(classes.join(final, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("top", "least").alias("component_id")), "jaccard-names")
+        return rows.join(names, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -314,7 +314,7 @@ def jaccard_components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One document of each component: the one of the least id; documents without words all stay."""
     found = stored(Join(docs, s).run(), "jaccard-result")
-    best = found.where("node is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
+    best = found.where("node is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
     named = best.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_k")).unionByName(found.where("node is null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct())
     needed = ("doc_id", "text")
     keyed = pack(docs, *needed).withColumn("_key", F.xxhash64("text"))

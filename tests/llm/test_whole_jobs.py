@@ -4,7 +4,7 @@ import collections
 
 import pytest
 
-from panelia.llm import mixing
+from panelia.llm import jaccard, mixing
 
 # --- mixing
 
@@ -32,3 +32,18 @@ def test_a_horizon_takes_surplus_only(spark, weights):
         if n / sum(sizes.values()) < 0.95 * wanted[k] / sum(wanted.values()):
             assert kept[k] == n
     assert not weights or sum(kept.values()) < sum(sizes.values())
+
+
+# --- Jaccard join
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    def text(k):
+        return " ".join(f"t{k}w{i}" for i in range(60))
+
+    near = text(1).replace("t1w59", "other")
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(k)) for k in range(5, 9)] + [(None, near), (None, text(0)), (7, text(5)), (8, text(6)), (None, None), (9, text(2))]
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept[None, text(1)] + kept[None, near] == 1
+    one = [(None, text(0)), (9, text(2)), (None, text(3)), (None, text(4)), *((7, text(k)) for k in range(5, 9)), (None, None)]
+    assert all(kept[x] == 1 for x in one) and sum(kept.values()) == len(one) + 1
