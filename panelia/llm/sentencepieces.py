@@ -6,8 +6,10 @@ by the scores of what they make.  Batches are encoded by the library's threads.
 
 Where no piece holds a marker after another character, no piece reaches over a run of markers into the next
 chunk, so that chunks (markers and what follows) are encoded by themselves; then each distinct chunk of a
-batch is encoded once.  Encodings are decoded and compared with the whole text, and for every
-``verify_every``-th document (by a hash of its id) compared with those of the sentencepiece library.
+batch is encoded once.  Encodings are decoded and compared with the whole text, and compared with those of the
+sentencepiece library: each distinct chunk of a batch, so that a document agrees when all its chunks do and they
+are the whole text.  Every ``verify_every``-th document (by a hash of its id) is compared as a whole besides; so
+is every document where chunks can't be encoded by themselves.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded one by
 one; all columns of the documents stay, and an added column whose name is taken gets an underscore before it.
@@ -141,17 +143,25 @@ class Codec:
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """The ids of all texts, the offsets of each text in them, and the decoded texts."""
+        return self.encode_checked(texts)[:3]
+
+    def encode_checked(self, texts: pa.Array, own=None, threads: int = 1) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """As ``encode_texts``, and whether each text's ids are those of ``own``, the library's processor (None: not compared)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_chunk:
             found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             ids = [e.ids for e in found]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-            return np.fromiter(itertools.chain.from_iterable(ids), np.int32), offsets, pa.array(self.tokenizer.decode_batch(ids, skip_special_tokens=False), pa.large_string())
+            same = np.array([a == b for a, b in zip(ids, own.encode(texts.to_pylist(), num_threads=threads), strict=True)], bool) if own and ids else np.ones(len(ids), bool)
+            return np.fromiter(itertools.chain.from_iterable(ids), np.int32), offsets, pa.array(self.tokenizer.decode_batch(ids, skip_special_tokens=False), pa.large_string()), same
         owner, chunks, back = chunked(texts)
         codes, dictionary = encode(chunks)
-        parts, sizes_of, spelled = [], [], []
+        parts, sizes_of, spelled, agree = [], [], [], [np.empty(0, bool)]
         for i in range(0, len(dictionary), BATCH):  # encodings are large while they live
-            found = [e.ids for e in self.chunks.encode_batch_fast(dictionary.slice(i, BATCH).to_pylist(), add_special_tokens=False)]
+            some = dictionary.slice(i, BATCH).to_pylist()
+            found = [e.ids for e in self.chunks.encode_batch_fast(some, add_special_tokens=False)]
+            if own:
+                agree.append(np.fromiter((a == b for a, b in zip(found, library_ids(own, some, threads), strict=True)), bool, len(found)))
             sizes_of.append(np.fromiter(map(len, found), np.int64, len(found)))
             parts.append(np.fromiter(itertools.chain.from_iterable(found), np.int32))
             spelled.append(pa.array(self.chunks.decode_batch(found, skip_special_tokens=False), pa.string()))
@@ -165,12 +175,25 @@ class Codec:
         lists = pa.ListArray.from_arrays(pa.array(back, pa.int32()), decoded.take(pa.array(codes)))
         # the prefix's space goes
         text = pc.utf8_slice_codeunits(pc.binary_join(lists, ""), 1).cast(pa.large_string()) if len(lists) else texts
-        return flat[at], np.concatenate([[0], np.cumsum(by_text)]), text
+        same = np.ones(len(texts), bool)
+        if own and len(texts):
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(back, pa.int32()), chunks.cast(pa.string())), "").cast(pa.large_string())
+            wanted = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), pc.replace_substring(texts, " ", MARK), pa.scalar("", pa.large_string()))
+            same = np.asarray(pc.or_(pc.equal(whole, wanted), pc.equal(pc.binary_length(texts), 0)))
+            same = same & (np.bincount(owner, ~np.concatenate(agree)[codes], len(texts)) == 0)
+        return flat[at], np.concatenate([[0], np.cumsum(by_text)]), text, same
 
     def decode_ids(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+def library_ids(own, chunks: list[str], threads: int) -> list[list[int]]:
+    """The library's ids of chunks; it puts the first marker before them itself."""
+    found = own.encode([c[1:] for c in chunks], num_threads=threads)
+    # an empty text has no ids: a lone marker is what a last space adds
+    return [x if len(c) > 1 else own.encode("a ")[len(own.encode("a")) :] for c, x in zip(chunks, found, strict=True)]
+
+
 def chunked(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Owner and chunks (markers and what follows) of the texts with their prefix, and the offsets of each text in them."""
     lists = pc.split_pattern(texts, " ")
@@ -206,7 +229,7 @@ def chunked(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int = 16, threads: int = 2) -> DataFrame:
-    """``docs`` with ids, n_tokens, round_trip (the ids decode to the text) and parity (null: not compared)."""
+    """``docs`` with ids, n_tokens, round_trip (the ids decode to the text) and parity (the ids are the library's)."""
     bound_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one model file
@@ -224,11 +247,10 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int
         for batch in batches:
             for part in slices(batch, limit=8 << 20):
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
-                ids, offsets, decoded = codec.encode_texts(texts)
-                chosen = [i for i, x in enumerate(part.column("doc_id").to_pylist()) if zlib.crc32(str(x).encode()) % verify_every == 0]
-                parity: list[bool | None] = [None] * len(texts)
+                ids, offsets, decoded, parity = codec.encode_checked(texts, own, threads)
+                chosen = [i for i, x in enumerate(part.column("doc_id").to_pylist()) if codec.by_chunk and zlib.crc32(str(x).encode()) % verify_every == 0]
                 for i, x in zip(chosen, own.encode(texts.take(pa.array(chosen, pa.int64())).to_pylist(), num_threads=threads) if chosen else [], strict=True):
-                    parity[i] = bool(np.array_equal(ids[offsets[i] : offsets[i + 1]], x))
+                    parity[i] &= np.array_equal(ids[offsets[i] : offsets[i + 1]], x)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(offsets)), pc.equal(decoded, texts), pa.array(parity, pa.bool_())], names=[*names, *(f.name for f in added)])
 

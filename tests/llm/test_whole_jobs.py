@@ -2,9 +2,45 @@
 
 import collections
 
+import pyarrow as pa
 import pytest
 
-from panelia.llm import jaccard, mixing
+from panelia.llm import jaccard, mixing, sentencepieces
+
+# --- SentencePiece
+
+
+def test_every_document_is_compared(spark):
+    rows = [(i, f"text {i}  of  words \U0001f600 日本▁語 ") for i in range(40)] + [(None, "no id"), (None, " "), (None, None)]
+    out = sentencepieces.encode_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and all(r["parity"] is True for r in out)
+
+
+class Odd:
+    """The library's processor with another encoding of one word."""
+
+    def __init__(self, own, word):
+        self.own, self.word = own, word
+
+    def encode(self, texts, num_threads=1):
+        if isinstance(texts, str):
+            return self.own.encode(texts)
+        return [[0] if t == self.word else x for t, x in zip(texts, self.own.encode(texts), strict=True)]
+
+
+def test_a_differing_chunk_is_seen_in_each_document():
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    codec = sentencepieces.Codec(open(sentencepieces.MODEL, "rb").read())
+    texts = ["one rare word", "one word", "", None, " ", "a ", "  two   spaces  ", "rare", "▁ marks ▁▁", "tab\trare\n"]
+    assert codec.by_chunk
+    assert codec.encode_checked(pa.array(texts), own)[3].all()
+    assert codec.encode_checked(pa.array(texts), Odd(own, "rare"))[3].tolist() == [t not in ("one rare word", "rare") for t in texts]
+    codec.by_chunk = False
+    assert codec.encode_checked(pa.array(texts), own)[3].all()
+    assert codec.encode_checked(pa.array(texts), Odd(own, "rare"))[3].tolist() == [t != "rare" for t in texts]
+
 
 # --- mixing
 
