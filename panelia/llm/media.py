@@ -87,8 +87,8 @@ def resample(samples: np.ndarray) -> np.ndarray:
 def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies (frames x MELS) and the level of each frame in dB."""
     _, window, bank = filters()
-    if len(signal) < FRAME:
-        signal = np.pad(signal, (0, FRAME - len(signal)))
+    # the last hop is filled up, so that every sample is in a frame
+    signal = np.pad(signal, (0, FRAME - len(signal) if len(signal) < FRAME else -(len(signal) - FRAME) % HOP))
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
     mels, level = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
     for i in range(0, len(frames), BLOCK):
@@ -114,7 +114,7 @@ def features(payload: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """The log-mel frames of the samples and the segments' time spans in seconds."""
     signal = resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
     mels, level = log_mel(signal)
-    return mels, [(a * HOP / RATE_OUT, ((b - 1) * HOP + FRAME) / RATE_OUT) for a, b in segments(level)]
+    return mels, [(a * HOP / RATE_OUT, min((b - 1) * HOP + FRAME, len(signal)) / RATE_OUT) for a, b in segments(level)]
 
 
 def summary(mels: np.ndarray, spans: list[tuple[float, float]]) -> str:
@@ -123,12 +123,30 @@ def summary(mels: np.ndarray, spans: list[tuple[float, float]]) -> str:
     return f"frames={len(mels)};mel={','.join(f'{x:.3f}' for x in bands)};segments={len(spans)};seconds={sum(b - a for a, b in spans):.3f}"
 
 
-def digest(text: str | None) -> tuple:
-    data = (text or "").encode()
-    media = write_wav(pad(data))
+def stored_rows(doc_id, text: str | None) -> Iterator[tuple]:
+    """The rows of a recording: doc_id, chunk, media, tensor, n_frames, start_s, end_s, segments."""
+    media = write_wav(pad((text or "").encode()))
     payload = read_wav(media)
     mels, spans = features(payload)
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), summary(mels, spans)
+    end = len(payload) // DOWN / RATE_OUT
+    for k in range(0, len(mels), FRAMES):
+        part = mels[k : k + FRAMES]
+        full = np.zeros((FRAMES, MELS), np.float32)
+        full[: len(part)] = part
+        chunk, start, following = k // FRAMES, k * HOP / RATE_OUT, (k + FRAMES) * HOP / RATE_OUT
+        inside = [{"start_s": a, "end_s": b} for a, b in spans if start <= a < following]
+        yield doc_id, chunk, media if chunk == 0 else None, full.tobytes(), len(part), start, min(((k + len(part) - 1) * HOP + FRAME) / RATE_OUT, end), inside
+
+
+def digest(text: str | None) -> tuple:
+    """What the stored rows of a text hold, read back: the media, the frames of the Arrow tensors, the spans."""
+    rows = list(stored_rows(None, text))
+    media = rows[0][2]
+    payload = read_wav(media)
+    frames = tensor_array(pa.array([r[3] for r in rows], pa.binary())).to_numpy_ndarray()
+    mels = np.concatenate([f[: r[4]] for f, r in zip(frames, rows, strict=True)])
+    spans = [(x["start_s"], x["end_s"]) for r in rows for x in r[7]]
+    return len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), summary(mels, spans)
 
 
 DIGEST = pa.schema(
@@ -166,24 +184,12 @@ def tensors(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     spans_type = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
-    def rows(doc_id, text) -> Iterator[tuple]:
-        media = write_wav(pad((text or "").encode()))
-        mels, spans = features(read_wav(media))
-        step = FRAMES * HOP / RATE_OUT
-        for k in range(0, len(mels), FRAMES):
-            part = mels[k : k + FRAMES]
-            full = np.zeros((FRAMES, MELS), np.float32)
-            full[: len(part)] = part
-            chunk, start = k // FRAMES, k * HOP / RATE_OUT
-            inside = [{"start_s": a, "end_s": b} for a, b in spans if start <= a < start + step]
-            yield doc_id, chunk, media if chunk == 0 else None, full.tobytes(), len(part), start, ((k + len(part) - 1) * HOP + FRAME) / RATE_OUT, inside
-
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
                 ids = part.column("doc_id")
-                out = [r for i, t in zip(ids.to_pylist(), part.column("text").to_pylist(), strict=True) for r in rows(i, t)]
+                out = [r for i, t in zip(ids.to_pylist(), part.column("text").to_pylist(), strict=True) for r in stored_rows(i, t)]
                 if out:
                     types = [ids.type, pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), spans_type]
                     names = ["doc_id", "chunk", "media", "tensor", "n_frames", "start_s", "end_s", "segments"]

@@ -2,10 +2,11 @@
 
 import collections
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelia.llm import jaccard, mixing, sentencepieces
+from panelia.llm import jaccard, media, mixing, sentencepieces
 
 # --- SentencePiece
 
@@ -83,3 +84,25 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     assert kept[None, text(1)] + kept[None, near] == 1
     one = [(None, text(0)), (9, text(2)), (None, text(3)), (None, text(4)), *((7, text(k)) for k in range(5, 9)), (None, None)]
     assert all(kept[x] == 1 for x in one) and sum(kept.values()) == len(one) + 1
+
+
+# --- media
+
+
+def test_every_sample_is_in_a_frame():
+    quiet = bytes([128]) * (3 * media.UNIT)
+    loud = quiet[:-16] + bytes([0, 255, 255, 0]) * 4
+    assert not np.array_equal(media.features(quiet)[0], media.features(loud)[0])
+    for n in (1, 2, 3, 10):
+        samples = n * media.UNIT // media.DOWN
+        assert (len(media.features(bytes(n * media.UNIT))[0]) - 1) * media.HOP + media.FRAME >= samples
+
+
+def test_the_digest_is_made_from_stored_tensors(monkeypatch):
+    made = []
+    kept = media.tensor_array
+    monkeypatch.setattr(media, "tensor_array", lambda blobs: made.append(len(blobs)) or kept(blobs))
+    text = "some words of a text " * 2000
+    feature = media.digest(text)[-1]
+    assert made and made[0] > 1
+    assert feature == media.summary(*media.features(media.pad(text.encode())))
