@@ -45,7 +45,7 @@ END = hash_strings(pa.array(["end of text"]), seed=1)[0]
 class Settings:
     add: float = 0.1
     discount: float = 0.5
-    min_count: int = 3
+    min_count: int = 1
     folds: int = 10
     #: Words and arcs in one broadcast shard, at 16 and 12 bytes; None: by the executors' memory.
     shard_entries: int | None = None

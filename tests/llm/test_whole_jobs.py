@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelia.llm import jaccard, media, mixing, sentencepieces
+from panelia.llm import jaccard, lm, media, mixing, sentencepieces
 
 # --- SentencePiece
 
@@ -106,3 +106,14 @@ def test_the_digest_is_made_from_stored_tensors(monkeypatch):
     feature = media.digest(text)[-1]
     assert made and made[0] > 1
     assert feature == media.summary(*media.features(media.pad(text.encode())))
+
+
+# --- language model
+
+
+def test_bigrams_seen_once_are_arcs(spark):
+    docs = spark.createDataFrame([(i, f"once{i} rare{i} common") for i in range(12)], "doc_id long, text string")
+    model = lm.fit(docs)
+    training = docs.where(~lm.held_out(model.settings.folds)).count()
+    # (once, rare) and (rare, common) of each training document, and (common, end)
+    assert training > 3 and model.arcs.count() == 2 * training + 1
