@@ -32,9 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bitmap, maybe
-from .lm import combine
 from .shared import stored
-from .words import BASE, bound_batches, hash_words, mix, ngram_hashes, signed, slices, split_words, tidy
+from .words import BASE, bound_batches, combine, hash_words, mix, ngram_hashes, signed, slices, split_words, tidy
 
 K, M = 20, 10
 ANCHOR_BITS, DOC_BITS = 27, 25

@@ -18,6 +18,8 @@ from pyspark.sql import SparkSession
 
 #: Text bytes that a kernel handles at a time; longer single texts are handled whole.
 SLICE_BYTES = 8 << 20
+#: Strings of more bytes are hashed one by one.
+LONG = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,8 +110,29 @@ def encode(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def hash_strings(strings: pa.Array, seed: int = 0) -> np.ndarray:
-    values = strings.cast(pa.large_binary()).to_pylist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in values), np.uint64, len(values))
+    """64-bit hashes, eight bytes of all strings at a time; strings of over ``LONG`` bytes one by one."""
+    n = len(strings)
+    if not n:
+        return np.empty(0, np.uint64)
+    raw = strings.cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + n + 1]
+    bytes_ = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)
+    padded = np.concatenate([bytes_, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    out = mix(size.astype(np.uint64) + (np.uint64(seed) << np.uint64(32)) + BASE)
+    at, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(at):
+        left = size[at] - done
+        chunk = eights[start[at] + done] & (~np.uint64(0) >> (64 - 8 * np.minimum(left, 8)).astype(np.uint64))
+        with np.errstate(over="ignore"):
+            out[at] = mix(out[at] * BASE + chunk)
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(bytes_[start[i] : start[i] + size[i]].tobytes(), seed)
+    return out
 
 
 def hash_words(words: pa.Array) -> np.ndarray:
@@ -130,3 +153,26 @@ def ngram_hashes(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
         for j in range(n):
             acc = acc * BASE + hashes[start + j]
     return start, mix(acc)
+
+
+def combine(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the counts (second) by their keys (first)."""
+    keys, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of their bytes, after their number."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    raw = np.frombuffer(pa.decompress(data[8:], n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()

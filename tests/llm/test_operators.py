@@ -165,31 +165,24 @@ def brute_lm(rows, s):
         c.update(tokens[k])
         pair.update(itertools.pairwise(tokens[k]))
     n, z = sum(c.values()), sum(c.values()) + s.add * (len(c) + 1)
-    kept = {p: x for p, x in pair.items() if x >= s.min_count}
-    low, uni = collections.defaultdict(float), collections.defaultdict(float)
-    for (a, b), x in kept.items():
-        low[a] += (x - s.discount) / c[a]
-        uni[a] += (c[b] + s.add) / z
     out = []
     for k, (i, _) in enumerate(rows):
-        base = [math.log10((c[w] + s.add) / z) for w in tokens[k]]
-        score = base[0] if base else 0.0
-        for (a, b), u in zip(itertools.pairwise(tokens[k]), base[1:], strict=True):
-            score += math.log10((kept[a, b] - s.discount) / c[a]) if (a, b) in kept else u + (math.log10(max((1 - low[a]) / max(1 - uni[a], 1e-9), 1e-9)) if a in low else 0)
-        out.append((i, k not in train, len(tokens[k]), sum(c[w] > 0 for w in tokens[k]), n, sum(base), score))
+        u = [(c[w] + s.add) / z for w in tokens[k]]
+        p = [u[0]] + [(pair[a, b] + s.prior * x) / (c[a] + s.prior) for (a, b), x in zip(itertools.pairwise(tokens[k]), u[1:], strict=True)]
+        out.append((i, k not in train, len(tokens[k]), sum(c[w] > 0 for w in tokens[k]), n, sum(map(math.log10, u)), sum(map(math.log10, p))))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("entries", [None, 300])
-def test_language_model(awkward, small, entries):
-    s = lm.Settings(shard_entries=entries)
-    for docs in (awkward, small) if entries is None else (awkward,):
+@pytest.mark.parametrize("slice_bytes", [16 << 20, 100])
+def test_language_model(awkward, small, slice_bytes):
+    s = lm.Settings(slice_bytes=slice_bytes, least_buckets=7)
+    for docs in (awkward, small):
         got = sorted((tuple(r)[:7] for r in lm.language_model_scores(docs, s).collect()), key=str)
         want = brute_lm(by_row(docs), s)
         assert len(got) == len(want)
         for g, w in zip(sorted(got, key=lambda r: (str(r[0]), r[2], r[5])), sorted(want, key=lambda r: (str(r[0]), r[2], r[5])), strict=True):
             assert g[:5] == w[:5]
-            assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-5, abs=1e-4)
+            assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
 def test_language_model_without_documents(empty):

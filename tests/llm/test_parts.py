@@ -30,20 +30,34 @@ def test_slices_give_what_whole_batches_give():
                 got[o].append(w)
             assert got == whole[seen : seen + part.num_rows]
             assert toxicity.score_texts(part.column("text"), model) == pytest.approx(scores[seen : seen + part.num_rows], rel=1e-9)
-            own, hashes = lm.tokens(part.column("text"))
-            every = [lm.tokens(pa.array([t]))[1].tolist() for t in texts[seen : seen + part.num_rows]]
-            assert hashes.tolist() == sum(every, []) and (np.diff(own) >= 0).all()
+            own, codes, hashes = lm.tokens(part.column("text"))
+            every = [h[c].tolist() for t in texts[seen : seen + part.num_rows] for _, c, h in [lm.tokens(pa.array([t]))]]
+            assert hashes[codes].tolist() == sum(every, []) and (np.diff(own) >= 0).all()
             seen += part.num_rows
         assert seen == len(texts)
 
 
-def test_lookup():
+def test_hashes_of_strings():
+    texts = ["", "a", "b", "ab", "a\0", "x" * 7, "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 255, "x" * 256, "x" * 257, "x" * 5000, "é日本", "\0", "\0\0"]
+    whole = words.hash_strings(pa.array(texts))
+    assert len(set(whole.tolist())) == len(texts)
+    assert whole.tolist() == [words.hash_strings(pa.array([t]))[0] for t in texts]
+    assert words.hash_strings(pa.array(["?", *texts, "?"]).slice(1, len(texts))).tolist() == whole.tolist()
+    assert not set(words.hash_strings(pa.array(texts), 1).tolist()) & set(whole.tolist())
+    many = pa.array([str(i) for i in range(300_000)])
+    assert len(np.unique(words.hash_strings(many))) == len(many)
+
+
+def test_planes_and_distinct_values():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 1000):
-        keys = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-        table = lm.Lookup(keys)
-        assert (table.find(keys) == np.arange(len(keys))).all()
-        assert (table.find(keys - np.uint64(1)) == -1).all()
+    for n in (0, 1, 1000):
+        for kind in (np.uint8, np.uint32, np.uint64):
+            x = rng.integers(0, np.iinfo(kind).max, n, dtype=kind)
+            assert (words.unplanes(words.planes(x), kind) == x).all()
+        for below in (50, 1 << 60):
+            x = rng.integers(0, below, n)
+            values, back = lm.distinct(x, below)
+            assert (values[back] == x).all() and (np.diff(values) > 0).all()
 
 
 def test_bitmaps_miss_nothing(spark):
