@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,34 +113,44 @@ class Codec:
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Tokenizer, decoders
 
         self.spec = spec = parse(data)
         if not spec.escape:
             raise ValueError("models without the metaspace marker are not supported")
-        unknown = next(i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN)
+        self.chunks = Tokenizer(self.model())
+        self.chunks.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        #: Chunks are independent, and the text is kept as it is but for markers.
+        self.by_chunk = spec.kind == BPE and not spec.charsmap and not spec.squeeze and spec.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, _ in spec.pieces)
 
-        def model():
-            if spec.kind == UNIGRAM:
-                return models.Unigram([(p, s) for p, s, _ in spec.pieces], unknown, spec.byte_fallback)
-            if spec.kind != BPE:
-                raise ValueError("the model is neither unigram nor BPE")
-            return models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+    def model(self):
+        from tokenizers import models
 
+        spec = self.spec
+        unknown = next(i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN)
+        if spec.kind == UNIGRAM:
+            return models.Unigram([(p, s) for p, s, _ in spec.pieces], unknown, spec.byte_fallback)
+        if spec.kind != BPE:
+            raise ValueError("the model is neither unigram nor BPE")
+        return models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+
+    @cached_property
+    def tokenizer(self):
+        """Of whole texts, with the model's normaliser; where chunks do, only decoding makes it."""
+        from tokenizers import Regex, Tokenizer, decoders, normalizers
+
+        spec = self.spec
         steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
         if spec.squeeze:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         if spec.dummy_prefix:
             steps.append(normalizers.Prepend(MARK))
         steps.append(normalizers.Replace(" ", MARK))
-        self.tokenizer = Tokenizer(model())
-        self.tokenizer.normalizer = normalizers.Sequence(steps)
+        found = Tokenizer(self.model())
+        found.normalizer = normalizers.Sequence(steps)
         ends = [decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else []
-        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
-        self.chunks = Tokenizer(model())
-        self.chunks.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        #: Chunks are independent, and the text is kept as it is but for markers.
-        self.by_chunk = spec.kind == BPE and not spec.charsmap and not spec.squeeze and spec.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, _ in spec.pieces)
+        found.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
+        return found
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """The ids of all texts, the offsets of each text in them, and the decoded texts."""
@@ -187,6 +198,14 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def worker_codec(data: bytes, threads: int) -> tuple[Codec, object]:
+    """The rebuilt model and the library's, once for a worker process."""
+    import sentencepiece
+
+    return Codec(data, threads), sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
 def library_ids(own, chunks: list[str], threads: int) -> list[list[int]]:
     """The library's ids of chunks; it puts the first marker before them itself."""
     found = own.encode([c[1:] for c in chunks], num_threads=threads)
@@ -230,7 +249,7 @@ def chunked(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int = 16, threads: int = 2) -> DataFrame:
     """``docs`` with ids, n_tokens, round_trip (the ids decode to the text) and parity (the ids are the library's)."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 8)
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one model file
     needed = ("doc_id", "text")
@@ -240,12 +259,9 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        codec = Codec(shared.value, threads)
-        own = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        codec, own = worker_codec(shared.value, threads)
         for batch in batches:
-            for part in slices(batch, limit=8 << 20):
+            for part in slices(batch, limit=4 << 20):
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
                 ids, offsets, decoded, parity = codec.encode_checked(texts, own, threads)
                 chosen = [i for i, x in enumerate(part.column("doc_id").to_pylist()) if codec.by_chunk and zlib.crc32(str(x).encode()) % verify_every == 0]
@@ -259,16 +275,16 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL, column: str = "ids") -> DataFrame:
-    """``encoded`` with a column ``decoded``: the text of the ids (null: empty)."""
+    """``encoded`` with a column ``decoded`` (underscores before a name that is taken): the text of the ids (null: empty)."""
     with open(model_path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    names = encoded.columns
+    names = [*encoded.columns, free_name("decoded", encoded.columns)]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec, _ = worker_codec(shared.value, 2)
         for batch in batches:
             ids = [x or [] for x in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codec.decode_ids(ids), pa.string())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codec.decode_ids(ids), pa.string())], names=names)
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(names[-1], T.StringType())]))
