@@ -1,13 +1,18 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 All rolling word K-gram hashes of the texts are joined with the K-grams of the templates (a broadcast table of
-the templates' words, whose size does not depend on the data).  A hit votes for the diagonal (document place
-minus template place); diagonals of a document that lie within GAP merge; the words that the votes cover are
-compared with the template's, and a template whose covered share is MIN_COVER or more gives its label.
+the templates' words, whose size does not depend on the data).  A hit, its K words compared, votes for the
+diagonal (document place minus template place); diagonals of a document that lie within GAP merge into a span.
+A span is verified word by word: its share is the number of words that template and document have in common over
+the longer of template and span, so that inserted words count against it as much as missing ones; and the words
+that tell licenses apart (numbers, and KEYWORDS) must be the template's, in its order.  Of spans that overlap, the
+one with the most words in common counts.  A share of MIN_SHARE or more gives the template's label; ``score`` is
+the largest share of a document, halved where the words that tell licenses apart differ.
 
 Defined cases: a null text is empty and has no label; a text shorter than K words has base places only;
-repeated rows get equal results; columns besides doc_id and text are left alone.  Case is folded before words
-are split, which for these ASCII phrases is the same as folding A-Z.
+a very long text is one row of words like any other; repeated rows get equal results; columns besides doc_id and
+text are left alone.  Case is folded before words are split, which for these ASCII phrases is the same as folding
+A-Z.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-K, GAP, MIN_COVER = 3, 2, 0.6
+K, GAP, MIN_SHARE = 3, 2, 0.85
 
 # The phrases of the base rule, and their labels.
 PHRASES = {
@@ -45,8 +50,16 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 ]
 
+# Words that tell licenses of one family apart.
+KEYWORDS = ["affero", "apache", "bsd", "lesser", "library", "mit", "mozilla", "nc", "nd", "noncommercial", "noderivatives", "sa", "sharealike"]
+KEY = f"^({'|'.join(KEYWORDS)}|[0-9]+)$"
+
 
 def template_words(text: str) -> list[str]:
     return [w for w in re.split(SEPARATORS, text.lower()) if w]
@@ -92,36 +105,59 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(template, label, size, t, word, h): every K-gram of every template."""
-    rows = [(n, label, len(w), i, w[i], *w[i : i + K]) for n, (label, text) in enumerate(TEMPLATES) for w in [template_words(text)] for i in range(len(w) - K + 1)]
-    frame = spark.createDataFrame(rows, f"template int, label string, size int, t int, word string, {', '.join(f'w{j} string' for j in range(K))}")
-    return frame.select("template", "label", "size", "t", F.col("word").alias("tword"), F.xxhash64(*(F.col(f"w{j}") for j in range(K))).alias("h"))
+    """(template, label, size, keys, t, tw, h): every K-gram of every template."""
+    rows = [(n, label, len(w), [x for x in w if re.match(KEY, x)], i, w[i : i + K]) for n, (label, text) in enumerate(TEMPLATES) for w in [template_words(text)] for i in range(len(w) - K + 1)]
+    frame = spark.createDataFrame(rows, "template int, label string, size int, keys array<string>, t int, tw array<string>")
+    return frame.withColumn("h", gram(F.col("tw"), F.lit(0)))
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, template, label, size, at, t): hits of document K-grams on template places, words compared."""
+    """(doc_id, key, template, label, size, keys, at, t, near): hits of document K-grams on template places, with the document's words about them."""
     split = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w")).where(F.size("w") >= K)
-    grams = split.select("doc_id", "key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.struct(gram(F.col("w"), i).alias("h"), F.get("w", i).alias("word")))).alias("at", "g"))
+    grams = split.select("doc_id", "key", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: gram(F.col("w"), i))).alias("at", "h"))
     # broadcast: the fixed templates
-    hits = grams.select("doc_id", "key", "at", F.col("g.h").alias("h"), F.col("g.word").alias("word")).join(F.broadcast(template_grams(docs.sparkSession)), "h")
-    return hits.where("word = tword").select("doc_id", "key", "template", "label", "size", "at", "t")
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession)), "h")
+    about = F.sequence(F.greatest(F.col("at") - GAP, F.lit(0)), F.least(F.col("at") + K + GAP, F.size("w")) - 1)
+    near = F.transform(about, lambda p: F.struct(p.alias("p"), F.get("w", p).alias("word")))
+    return hits.where(F.slice("w", F.col("at") + 1, F.lit(K)) == F.col("tw")).select("doc_id", "key", "template", "label", "size", "keys", "at", "t", near.alias("near"))
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, template, label, start, end, cover): merged diagonals with the covered share of the template."""
+    """(doc_id, key, template, label, start, end, common, share, agrees): spans of merged diagonals, verified."""
     by = ["doc_id", "key", "template"]
-    diagonals = votes(docs).groupBy(*by, "label", "size", (F.col("at") - F.col("t")).alias("d")).agg(F.collect_set("t").alias("ts"), F.min("at").alias("a"), F.max("at").alias("b"))
+    told = F.filter("near", lambda x: x["word"].rlike(KEY))
+    diagonals = votes(docs).groupBy(*by, "label", "size", "keys", (F.col("at") - F.col("t")).alias("d")).agg(F.collect_set("t").alias("ts"), F.flatten(F.collect_list(told)).alias("told"))
     in_order = Window.partitionBy(*by).orderBy("d")
     apart = (F.col("d") - F.lag("d").over(in_order) > GAP).cast("int")
     islands = diagonals.withColumn("i", F.sum(F.coalesce(apart, F.lit(1))).over(in_order))
-    merged = islands.groupBy(*by, "label", "size", "i").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min("a").alias("start"), (F.max("b") + K).alias("end"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + K - 1)))))
-    return merged.select(*by, "label", "start", "end", (covered / F.col("size")).alias("cover"))
+    places = lambda shift: F.flatten(F.collect_list(F.flatten(F.transform("ts", lambda t: F.sequence(t + shift, t + shift + K - 1)))))
+    merged = islands.groupBy(*by, "label", "size", "keys", "i").agg(F.array_distinct(places(F.lit(0))).alias("in_template"), F.array_distinct(places(F.col("d"))).alias("in_text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("told")))).alias("told"))
+    start, end = F.array_min("in_text"), F.array_max("in_text") + 1
+    common = F.least(F.size("in_template"), F.size("in_text"))
+    own = F.transform(F.filter("told", lambda x: (x["p"] >= F.col("start")) & (x["p"] < F.col("end"))), lambda x: x["word"])
+    return merged.withColumns({"start": start, "end": end, "common": common}).select(*by, "label", "start", "end", "common", (F.col("common") / F.greatest("size", F.col("end") - F.col("start"))).alias("share"), (own == F.col("keys")).alias("agrees"))
+
+
+def best_spans(found: DataFrame) -> DataFrame:
+    """Of overlapping spans, the one with the most words in common (the smaller span, the earlier template), and those that don't overlap it."""
+    by = ["doc_id", "key"]
+    before = Window.partitionBy(*by).orderBy("start", "end", "template").rowsBetween(Window.unboundedPreceding, -1)
+    until_now = Window.partitionBy(*by).orderBy("start", "end", "template")
+    new = (F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(0))).cast("int")
+    grouped = found.withColumn("new", new).withColumn("g", F.sum("new").over(until_now))
+    order = F.struct(F.col("common"), F.col("start") - F.col("end"), -F.col("template"))
+    top = F.max_by(F.struct("start", "end", "template"), order).over(Window.partitionBy(*by, "g"))
+    keep = (F.col("template") == F.col("top.template")) & (F.col("start") == F.col("top.start")) | (F.col("start") >= F.col("top.end")) | (F.col("end") <= F.col("top.start"))
+    return grouped.withColumn("top", top).where(keep).drop("new", "g", "top")
 
 
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
-    named = matches(docs).groupBy("doc_id", "key").agg(F.collect_set(F.when(F.col("cover") >= MIN_COVER, F.col("label"))).alias("own"), F.max("cover").alias("best"))
+    value = F.when(F.col("agrees"), F.col("share")).otherwise(F.col("share") / 2)
+    fits = F.col("agrees") & (F.col("share") >= MIN_SHARE)
+    # a span that doesn't fit rules no other out
+    spans = best_spans(matches(docs).withColumns({"value": value, "common": F.when(fits, F.col("common")).otherwise(0)}))
+    named = spans.groupBy("doc_id", "key").agg(F.collect_set(F.when(F.col("common") > 0, F.col("label"))).alias("own"), F.max("value").alias("best"))
     left, right = base(docs).alias("l"), named.alias("r")
     joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.key") == F.col("r.key")), "left")
     own = F.coalesce("own", F.array().cast("array<string>"))

@@ -8,14 +8,16 @@ prefixes), its linear weight and factor vector are the sums over these terms, an
 so that pairs of words (an insult with a group mention) count beyond their additive weights.
 
 The model is learnt on a bounded sample of labelled rows (``max_positive``, ``max_negative``, chosen by a
-hash of the id); executors count and screen its terms by their log odds and its z-score, so that the table
-that the driver trains and broadcasts holds at most ``max_terms`` terms.  Every document is then scored
-whole, in one narrow pass.
+hash of the id, one text for each id); executors count and screen its terms by their log odds and its z-score, so
+that the table that the driver trains and broadcasts holds at most ``max_terms`` terms.  Words that tell nothing
+alone are screened by pairs: of the ``pair_words`` most frequent words, those of a pair whose joint presence moves
+the log odds by ``min_pair_odds`` beyond the sum of its words' shares, with a z-score of ``min_pair_z``, come in
+too (at most ``max_pair_terms``).  Every document is then scored whole, in one narrow pass.
 
 Defined cases: a null or empty text has no word and gets sigmoid(bias); null or contradictory labels
 are dropped / count as 1 when any row of the id says 1; without labels of both kinds every score is the
-share of the label that is there (0.0 without labels); repeated documents are scored one by one;
-other columns are ignored.
+share of the label that is there (0.0 without labels); repeated documents are scored one by one, and learnt from
+once; a very long text is a set of words like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import pack, stored, unpack
+from .shared import free_name, pack, stored, unpack
 from .words import as_string, bound_batches, encode, hash_strings, signed, slices, tidy
 
 EDGE = ".,;:!?|\"'()[]{}<>*_-"
@@ -50,6 +52,10 @@ class Settings:
     min_z: float = 3.0
     min_log_odds: float = 1.0
     max_terms: int = 1 << 16
+    pair_words: int = 1024
+    min_pair_odds: float = 1.0
+    min_pair_z: float = 6.0
+    max_pair_terms: int = 256
     seed: int = 7
 
 
@@ -129,8 +135,8 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     return sigmoid(z)
 
 
-def term_counts(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The terms of the texts, in how many texts each is, and in how many of label 1."""
+def term_counts(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the texts, in how many texts each is, in how many of label 1, and whether it is a whole word."""
     doc, code, dictionary = vocabulary(texts)
     rows, hashes = word_terms(dictionary)
     terms, term = np.unique(hashes, return_inverse=True)
@@ -140,7 +146,9 @@ def term_counts(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     pair = np.unique(np.repeat(term, size) * np.int64(len(y)) + doc[order][np.repeat(start[rows], size) + inner]) if len(rows) else np.empty(0, np.int64)
     t, d = pair // max(len(y), 1), pair % max(len(y), 1)
-    return terms, np.bincount(t, minlength=len(terms)), np.bincount(t, y[d], len(terms)).astype(np.int64)
+    whole = np.zeros(len(terms), bool)
+    whole[term[: len(dictionary)]] = True
+    return terms, np.bincount(t, minlength=len(terms)), np.bincount(t, y[d], len(terms)).astype(np.int64), whole
 
 
 def screen(terms: np.ndarray, count: np.ndarray, pos: np.ndarray, positive: int, negative: int, s: Settings) -> np.ndarray:
@@ -162,6 +170,69 @@ def known_words(texts: pa.Array, terms: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), dictionary.take(pa.array(code[keep])).cast(pa.string()))
 
 
+def frequent(terms: np.ndarray, count: np.ndarray, whole: np.ndarray, s: Settings) -> np.ndarray:
+    """The hashes of the ``pair_words`` most frequent words, sorted."""
+    at = np.flatnonzero(whole & (count >= s.min_count))
+    return np.sort(terms[at[np.lexsort((terms[at], -count[at]))][: s.pair_words]])
+
+
+def joint_counts(doc: np.ndarray, word: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """By label, in how many texts each pair of m words is (on the diagonal: each word)."""
+    out = np.zeros((2, m, m))
+    place = np.searchsorted(doc, np.arange(0, len(y) + 1024, 1024))
+    for i, (a, b) in enumerate(zip(place, place[1:], strict=False)):
+        some = np.zeros((1024, m), np.float32)
+        some[doc[a:b] - 1024 * i, word[a:b]] = 1
+        label = np.zeros(1024, bool)
+        part = y[1024 * i : 1024 * (i + 1)] > 0
+        label[: len(part)] = part
+        for k in (0, 1):
+            rows = some[label == bool(k)]
+            out[k] += rows.T @ rows
+    return out
+
+
+def paired_terms(lists: pa.Array, y: np.ndarray, often: np.ndarray, s: Settings) -> np.ndarray:
+    """The frequent words that tell labels apart in pairs, though each alone may not: hashes, sorted."""
+    code, dictionary = encode(lists.flatten().cast(pa.large_string()))
+    if not len(code) or not len(often):
+        return often[:0]
+    hashes = hash_strings(dictionary)
+    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+    word = np.where(often[at] == hashes, at, -1)[code]
+    doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    both = joint_counts(doc[word >= 0], word[word >= 0], y, len(often))
+    odds, variance = 0.0, 0.0
+    for k, sign in ((1, 1), (0, -1)):
+        n, joint, own = (y > 0).sum() if k else (y == 0).sum(), both[k], np.diag(both[k])
+        for cell, plus in ((joint, 1), (own[:, None] - joint, -1), (own[None, :] - joint, -1), (n - own[:, None] - own[None, :] + joint, 1)):
+            odds, variance = odds + sign * plus * np.log(cell + 0.5), variance + 1 / (cell + 0.5)
+    z = np.triu(np.where(np.abs(odds) >= s.min_pair_odds, np.abs(odds) / np.sqrt(variance), 0), 1)
+    a, b = np.nonzero(z >= s.min_pair_z)
+    order = np.lexsort((b, a, -z[a, b]))
+    best = np.stack([a[order], b[order]], 1).ravel()
+    first = np.sort(np.unique(best, return_index=True)[1])[: s.max_pair_terms]
+    return np.sort(often[best[first]])
+
+
+def holding(lists: pa.Array, terms: np.ndarray) -> pa.Array:
+    """The lists without the words that hold none of the terms."""
+    flat = lists.flatten()
+    code, dictionary = encode(flat.cast(pa.large_string()))
+    known = np.zeros(len(dictionary), bool)
+    known[known_terms(dictionary, terms)[0]] = True
+    keep = known[code]
+    doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(lists)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.filter(pa.array(keep)))
+
+
+def learn(lists: pa.Array, y: np.ndarray, terms: np.ndarray, often: np.ndarray, s: Settings) -> Model:
+    """The model of the terms and of the paired words among the frequent ones; lists hold the words of both."""
+    terms = np.union1d(terms, paired_terms(lists, y, often, s))
+    return train(holding(lists, terms), y, terms, s)
+
+
 def constant(y: np.ndarray, s: Settings) -> Model:
     share = y.mean() if len(y) else 0.0
     return Model(np.empty(0, np.uint64), np.empty(0), np.zeros((0, s.factors)), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
@@ -201,8 +272,9 @@ def fit_texts(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) ->
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         return constant(y, s)
-    terms = screen(*term_counts(texts, y), int(y.sum()), int(len(y) - y.sum()), s)
-    return train(known_words(texts, terms), y, terms, s)
+    found, count, pos, whole = term_counts(texts, y)
+    terms, often = screen(found, count, pos, int(y.sum()), int(len(y) - y.sum()), s), frequent(found, count, whole, s)
+    return learn(known_words(texts, np.union1d(terms, often)), y, terms, often, s)
 
 
 def fold(doc_id: str | F.Column, folds: int = 5):
@@ -221,11 +293,12 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Data
     )
     chosen = known.where("toxic = 1").orderBy("h", "doc_id").limit(s.max_positive).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(s.max_negative))
     # broadcast: at most max_positive + max_negative pairs
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.drop("h")), "doc_id").select("doc_id", "text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen.drop("h")), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Terms are counted and screened on the executors; only the sample's known words come to the driver."""
+    """Terms are counted and screened on the executors; only the sample's known and frequent words come to the driver."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = stored(sample(docs, labels, s), "tox-sample", narrow=True)
@@ -237,17 +310,19 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
-                terms, n, pos = term_counts(part.column("text"), np.asarray(part.column("toxic")).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(n), pa.array(pos)], names=["term", "n", "pos"])
+                terms, n, pos, whole = term_counts(part.column("text"), np.asarray(part.column("toxic")).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(n), pa.array(pos), pa.array(whole)], names=["term", "n", "pos", "whole"])
 
-    counts = rows.mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    counts = rows.mapInArrow(count, "term long, n long, pos long, whole boolean").groupBy("term", "whole").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= s.min_count)
+    counts = stored(counts, "tox-terms", narrow=True)
     a, b = (F.col("pos") + 0.5) / (sizes[1] + 1), (F.col("n") - F.col("pos") + 0.5) / (sizes[0] + 1)
     odds = F.abs(F.log(a / (1 - a)) - F.log(b / (1 - b)))
     z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("n") - F.col("pos") + 0.5))
-    told = counts.where((F.col("n") >= s.min_count) & (odds >= s.min_log_odds) & (z >= s.min_z)).withColumn("z", z)
-    # at most max_terms rows
-    terms = np.sort(np.asarray(told.orderBy(F.desc("z"), "term").limit(s.max_terms).select("term").toArrow()["term"]).view(np.uint64))
-    shared = spark.sparkContext.broadcast(terms)
+    told = counts.where((odds >= s.min_log_odds) & (z >= s.min_z)).withColumn("z", z)
+    # at most max_terms and pair_words rows
+    best = lambda frame, by, most: np.sort(np.asarray(frame.orderBy(F.desc(by), "term").limit(most).select("term").toArrow()["term"]).view(np.uint64))
+    terms, often = best(told, "z", s.max_terms), best(counts.where("whole"), "n", s.pair_words)
+    shared = spark.sparkContext.broadcast(np.union1d(terms, often))
 
     @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,23 +332,23 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     known = rows.mapInArrow(keep, f"doc_id {kind}, toxic int, words array<string>").withColumn("words", F.array_sort("words")).orderBy("doc_id", F.hash("words")).toArrow()
-    return train(known["words"].combine_chunks(), np.asarray(known["toxic"]).astype(np.float64), terms, s)
+    return learn(known["words"].combine_chunks(), np.asarray(known["toxic"]).astype(np.float64), terms, often, s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1) beside doc_id and text; other columns stay."""
+    """``docs`` with a column ``toxicity`` (0 to 1; underscores before a name that is taken); all columns stay."""
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
-    names = docs.columns
+    names = [*docs.columns, free_name("toxicity", docs.columns)]
     shared = spark.sparkContext.broadcast(model)  # at most max_terms terms
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(part.column("text"), shared.value))], names=[*names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(part.column("text"), shared.value))], names=names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[-1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

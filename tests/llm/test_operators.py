@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelia.llm import jaccard, licenses, lm, media, mixing, neighbours, secrets, sentencepieces, substrings, toxicity
+from panelia.llm import jaccard, licenses, lm, media, mixing, neighbours, secrets, sentencepieces, substrings, toxicity, words
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -214,6 +214,69 @@ def test_license_diagonals(spark):
     assert rows[3]["labels"] == "mit" and rows[3]["score"] == 1 and rows[3]["n_base"] == 2
 
 
+def test_licenses_are_told_apart(spark):
+    texts = dict(licenses.TEMPLATES[::-1])
+    gpl2 = next(t for label, t in licenses.TEMPLATES if label == "gpl-2.0")
+    cases = [
+        ("She studied under the MIT programme.", ""),
+        ("It was released under the MIT programme.", ""),
+        (next(t for label, t in licenses.TEMPLATES if label == "cc-by-nc-4.0" and "Creative" in t), "cc-by-nc-4.0"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+        ("Licensed under CC BY-NC 3.0.", "cc-by"),
+        (gpl2, "gpl,gpl-2.0"),
+        (gpl2.replace("version 2", "version 3"), "gpl,gpl-3.0"),
+        (gpl2.replace("GNU General", "GNU Affero General"), ""),
+        (texts["lgpl"], "lgpl"),
+        (f"{texts['mit']} Licensed under the Apache License, Version 2.0. {texts['isc']}", "apache,apache-2.0,isc,mit"),
+        ("Released under the MIT License. " * 3 + "Licensed under the Apache License, Version 2.0", "apache,apache-2.0,mit"),
+        (" ".join(w + " and" for w in texts["unlicense"].split()), ""),
+        (texts["bsd"].replace("source", "the original source"), "bsd"),
+    ]
+    rows = {r["doc_id"]: r["labels"] for r in licenses.licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(len(cases))] == [x for _, x in cases]
+
+
+def brute_spans(text):
+    """Verified spans of every template: labels and score, by plain loops."""
+    w = licenses.template_words(lower(text))
+    spans = []
+    for n, (label, template) in enumerate(licenses.TEMPLATES):
+        t = licenses.template_words(template)
+        hits = sorted({(at - i, at, i) for at in range(len(w) - 2) for i in range(len(t) - 2) if w[at : at + 3] == t[i : i + 3]})
+        islands = []
+        for h in hits:
+            if not islands or h[0] - islands[-1][-1][0] > licenses.GAP:
+                islands.append([])
+            islands[-1].append(h)
+        for island in islands:
+            own, there = ({x + j for h in island for x in [h[k]] for j in range(3)} for k in (1, 2))
+            a, b = min(own), max(own) + 1
+            agrees = [x for x in w[a:b] if re.match(licenses.KEY, x)] == [x for x in t if re.match(licenses.KEY, x)]
+            share = min(len(own), len(there)) / max(len(t), b - a)
+            spans.append((min(len(own), len(there)) if agrees and share >= licenses.MIN_SHARE else 0, a, b, n, label, share if agrees else share / 2))
+    spans.sort(key=lambda s: (s[1], s[2], s[3]))
+    groups = []
+    for s in spans:
+        if not groups or s[1] >= max(x[2] for x in groups[-1]):
+            groups.append([])
+        groups[-1].append(s)
+    kept = []
+    for g in groups:
+        top = max(g, key=lambda s: (s[0], s[1] - s[2], -s[3]))
+        kept += [s for s in g if s is top or s[1] >= top[2] or s[2] <= top[1]]
+    return {s[4] for s in kept if s[0]}, max((s[5] for s in kept), default=0.0)
+
+
+def test_license_labels_by_brute_force(awkward, small):
+    for docs in (awkward, small):
+        got = collections.defaultdict(list)
+        for r in licenses.licenses(docs).collect():
+            got[r["doc_id"], r["n_words"]].append((set(r["labels"].split(",")) - {""}, set(r["base_labels"].split(",")) - {""}, r["score"]))
+        for i, t in by_row(docs):
+            labels, score = brute_spans(t or "")
+            assert any(have == base | labels and s == pytest.approx(score) for have, base, s in got[i, len(licenses.template_words(lower(t)))])
+
+
 # --- 6: neighbours
 
 
@@ -288,6 +351,37 @@ def test_pairs_count_beyond_single_terms():
     assert p[0] > 0.5 and (p[1:] < 0.5).all()
 
 
+def test_a_label_of_pairs_alone_at_shipped_settings():
+    """Neither word tells the labels apart: label 1 means both or none of them."""
+    rng = np.random.default_rng(2)
+    filler = [f"f{i}" for i in range(60)]
+    texts, y = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join([*rng.choice(filler, 10), *["insult"] * int(a), *["group"] * int(b)]))
+        y.append(int(a == b))
+    model = toxicity.fit_texts(pa.array(texts), np.array(y))
+    held = pa.array(["f1 f2 insult group", "f3 f9 f4", "f1 insult f7", "group f8 f5"])
+    p = toxicity.score_texts(held, model)
+    assert (p[:2] > 0.8).all() and (p[2:] < 0.2).all()
+    linear = toxicity.Model(model.terms, model.weights, np.zeros_like(model.factors), model.bias)
+    assert not ((q := toxicity.score_texts(held, linear))[:2] > 0.5).all() or not (q[2:] < 0.5).all()
+
+
+def test_scores_are_those_of_the_formula():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["alpha", "alphabet", "beta", "gamma", "delta.", "(delta)", "x"], 6)) for _ in range(200)]
+    model = toxicity.fit_texts(pa.array(texts), rng.integers(0, 2, 200), toxicity.Settings(min_log_odds=0.0, min_z=0.0, epochs=20))
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    for text, p in zip(texts[:40], toxicity.score_texts(pa.array(texts[:40]), model), strict=True):
+        vectors = []
+        for w in sorted({w.strip(toxicity.EDGE) for w in text.lower().split()} - {""}):
+            terms = [words.hash_strings(pa.array([w]))[0]] + [words.hash_strings(pa.array([w[:n]]), n)[0] for n in toxicity.PREFIXES if len(w) > n]
+            vectors.append((sum(model.weights[place[int(t)]] for t in terms if int(t) in place), sum((model.factors[place[int(t)]] for t in terms if int(t) in place), np.zeros(8))))
+        z = model.bias + sum(a for a, _ in vectors) + sum(u @ v for (_, u), (_, v) in itertools.combinations(vectors, 2))
+        assert p == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
 # --- 8: Jaccard join
 
 
