@@ -218,8 +218,9 @@ class Join:
 
     def sets(self, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         """(node, n, grams, sketch words) of the given nodes, each from one of its documents."""
-        chosen = rows.join(nodes, "node").groupBy("node").agg(F.min(F.xxhash64("doc_id", "key")).alias("h"))
-        wanted = stored(chosen, "jaccard-nodes")
+        # summed before the shuffle: copies of one text may be many
+        chosen = rows.where("node is not null").groupBy("node").agg(F.min(F.xxhash64("doc_id", "key")).alias("h"))
+        wanted = stored(chosen.join(nodes, "node"), "jaccard-nodes")
         shared = self.spark.sparkContext.broadcast(bitmap(wanted, "h", NODE_BITS))
         k = self.s.words
         names = ["id", "n", "grams", *(f"s{i}" for i in range(SKETCH))]
@@ -312,15 +313,16 @@ def jaccard_components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One document of each component: the one of the least id; documents without words all stay."""
+    """One document of each component: the one of the least id; rows without words all stay, repeated ones too."""
     found = stored(Join(docs, s).run(), "jaccard-result")
     best = found.where("node is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
-    named = best.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_k")).unionByName(found.where("node is null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct())
+    wordless = found.where("node is null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct()
+    named = best.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_k"), F.lit(False).alias("_all")).unionByName(wordless.withColumn("_all", F.lit(True)))
     needed = ("doc_id", "text")
     keyed = pack(docs, *needed).withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
+    joined = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
     once = Window.partitionBy("doc_id", "_key").orderBy("doc_id")
-    return unpack(joined.withColumn("_n", F.row_number().over(once)).where("_n = 1"), docs.columns, needed)
+    return unpack(joined.withColumn("_n", F.row_number().over(once)).where("_n = 1 or _all"), docs.columns, needed)
 
 
 def production() -> Settings:

@@ -14,11 +14,15 @@ turn comes and no block is left); then only sources that hold more than their ta
 ``interleave`` returns the documents of the mix, in the order of the schedule.
 
 Without explicit ``weights``, targets are the sources' sizes to the power ``alpha``, normalised; with them,
-sources that they don't name (or name with 0) are left out.  A source's place sums are taken in two steps, over
-hash ranges of a source and then inside a range, so that no source is gathered in one task.
+sources that they don't name (or name with 0) are left out.  A source's place sums are taken in three steps, over
+hash ranges of a source, parts of a range and rows of a part, so that no source is gathered in one task.
 
-Defined cases: a null source is a source of its own, a null or empty text counts as one code point; repeated
-rows follow each other; without documents the result is empty; more than ``max_sources`` sources are an error.
+Files don't keep an order that Spark reads them in: ``with_places`` gives the rows of a written mix their places
+(number of the file, row in it), by which they can be sorted again.
+
+Defined cases: a null source is a source of its own, a null or empty text counts as one code point, a very long
+text begins in one block and fills those after it; repeated rows follow each other; without documents the result
+is empty; more than ``max_sources`` sources are an error.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pack, stored, unpack
+from .shared import free_name, pack, stored, unpack
 
-RANGE_BITS = 14
+#: Ranges of a source, and parts of a range.
+RANGE_BITS, PART_BITS = 7, 7
 
 
 @dataclass(frozen=True)
@@ -86,14 +92,18 @@ def places(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, source, h, size, before): the code points of the source before each document."""
     narrow = docs.select(
         "doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long").alias("size")
-    ).withColumn("r", F.shiftright("h", 64 - RANGE_BITS))
-    sums = narrow.groupBy("source", "r").agg(F.sum("size").alias("total"))
-    # at most 2**RANGE_BITS rows a source
-    earlier = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("r").alias("sr"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "r").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ).withColumns({"r": F.shiftright("h", 64 - RANGE_BITS), "p": F.shiftright("h", 64 - RANGE_BITS - PART_BITS)})
+    parts = narrow.groupBy("source", "r", "p").agg(F.sum("size").alias("total"))
+    ranges = parts.groupBy("source", "r").agg(F.sum("total").alias("total"))
+    # at most 2**RANGE_BITS rows a source, 2**PART_BITS a range
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda *by: F.coalesce(F.sum("total").over(until(Window.partitionBy(*by[:-1]).orderBy(by[-1]))), F.lit(0))
+    low = ranges.select(F.col("source").alias("ls"), F.col("r").alias("lr"), before("source", "r").alias("low"))
+    high = parts.select("source", "r", "p", before("source", "r", "p").alias("high"))
+    starts = high.join(low, F.col("source").eqNullSafe(F.col("ls")) & (F.col("r") == F.col("lr"))).select(F.col("source").alias("s"), F.col("p").alias("sp"), (F.col("low") + F.col("high")).alias("start"))
+    inside = Window.partitionBy("source", "p").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     ranked = narrow.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("r") == F.col("sr")))
+    joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("p") == F.col("sp")))
     return joined.select("doc_id", "source", "h", "size", (F.col("start") + F.col("own")).alias("before"))
 
 
@@ -146,3 +156,12 @@ def interleave(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     keyed = pack(docs, *needed).withColumn("_key", F.xxhash64("doc_id", "text"))
     joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
     return unpack(joined.repartitionByRange("_slot", "_before").sortWithinPartitions("_slot", "_before"), docs.columns, needed)
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """``docs``, read from the files of a written mix, with mix_file and mix_row (null where the rows aren't read from files)."""
+    names = [free_name(n, docs.columns) for n in ("mix_file", "mix_row")]
+    try:
+        return docs.select("*", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+    except AnalysisException:
+        return docs.select("*", F.lit(None).cast("int").alias(names[0]), F.lit(None).cast("long").alias(names[1]))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelia.llm import jaccard, lm, media, mixing, sentencepieces
+from panelia.llm import jaccard, lm, media, mixing, sentencepieces, shared
 
 # --- SentencePiece
 
@@ -59,6 +59,31 @@ def test_the_mix_keeps_all_documents(spark):
     assert sorted(r["doc_id"] for r in mixing.interleave(docs).collect()) == sorted(r["doc_id"] for r in docs.collect())
 
 
+def test_a_written_mix_keeps_its_order(spark):
+    _, docs = skewed(spark)
+    s = mixing.Settings(block_chars=4000)
+    slot = {r["doc_id"]: (r["slot"], r["before"]) for r in mixing.schedule(docs, s).collect()}
+    placed = mixing.with_places(shared.stored(mixing.interleave(docs, s), "test-mix")).orderBy("mix_file", "mix_row").collect()
+    order = [slot[r["doc_id"]] for r in placed]
+    assert len(order) == len(slot) and order == sorted(order)
+    assert mixing.with_places(docs).where("mix_file is null").count() == docs.count()
+
+
+def test_shares_before_a_source_is_dry(spark):
+    """Until the first source has no block left, each has its share of the slots to within less than one block."""
+    sizes, docs = skewed(spark)
+    rows = mixing.schedule(docs, mixing.Settings(block_chars=1000)).collect()
+    size = mixing.quotas({k: (1000 * n) ** 0.7 for k, n in sizes.items()}, 1000)
+    period = sum(size.values())
+    first_dry = min(max(r["slot"] for r in rows if r["source"] == k) for k in sizes)
+    taken = dict.fromkeys(sizes, 0)
+    by_slot = {r["slot"]: r["source"] for r in rows}
+    for slot in range(first_dry):
+        if slot in by_slot:
+            taken[by_slot[slot]] += 1
+        assert all(abs(taken[k] - (slot + 1) * size[k] / period) < 1 for k in sizes)
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0, "e": 1.0}])
 def test_a_horizon_takes_surplus_only(spark, weights):
     sizes, docs = skewed(spark)
@@ -79,11 +104,12 @@ def test_keep_one_with_null_and_repeated_ids(spark):
         return " ".join(f"t{k}w{i}" for i in range(60))
 
     near = text(1).replace("t1w59", "other")
-    rows = [(None, text(k)) for k in range(5)] + [(7, text(k)) for k in range(5, 9)] + [(None, near), (None, text(0)), (7, text(5)), (8, text(6)), (None, None), (9, text(2))]
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(k)) for k in range(5, 9)] + [(None, near), (None, text(0)), (7, text(5)), (8, text(6)), (None, None), (None, None), (3, " "), (3, " "), (9, text(2))]
     kept = collections.Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert kept[None, text(1)] + kept[None, near] == 1
-    one = [(None, text(0)), (9, text(2)), (None, text(3)), (None, text(4)), *((7, text(k)) for k in range(5, 9)), (None, None)]
-    assert all(kept[x] == 1 for x in one) and sum(kept.values()) == len(one) + 1
+    one = [(None, text(0)), (9, text(2)), (None, text(3)), (None, text(4)), *((7, text(k)) for k in range(5, 9))]
+    assert kept[None, None] == kept[3, " "] == 2
+    assert all(kept[x] == 1 for x in one) and sum(kept.values()) == len(one) + 5
 
 
 # --- media
