@@ -29,8 +29,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids, checked against their texts."""
-    return sentencepieces.encode_documents(docs)
+    """Documents with their ids, checked against their texts, and their places in the mix."""
+    return sentencepieces.encode_documents(mixing.with_places(docs))
 
 
 STAGES = [
