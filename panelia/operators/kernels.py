@@ -149,13 +149,12 @@ def fixed_effects(frame: DataFrame, cell: str, person: str, block: str, y: str,
         name = rows[cell].iloc[0]
         try:
             d = regression.prepare(rows[person], rows[block], rows[y], rows[x].to_numpy(float))
-            r = regression.fit(d)
+            r = regression.estimate(d)
+            cr1, cr3 = r.clustered(), regression.jackknife(regression.without_each(d, r))
         except (ValueError, np.linalg.LinAlgError) as e:
             return pd.DataFrame([{cell: name, "error": str(e)}], columns=[c.split(" ")[0] for c in schema.split(", ")])
-        out = []
-        for j, p in enumerate(x):
-            w = regression.wild(d, r, j, replicates, streams.generator(seed, str(name), p))
-            out.append((name, p, r["people"], r["rows"], r["b"][j], r["se"][j], r["p"][j], r["se3"][j], r["p3"][j], w["p"], None))
+        p1, p3 = r.table(cr1)["p"], r.table(cr3)["p"]
+        out = [(name, p, r.people, r.rows, r.value[j], cr1[j], p1[j], cr3[j], p3[j], regression.wild(d, r, j, replicates, streams.generator(seed, str(name), p)), None) for j, p in enumerate(x)]
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
     return frame.groupBy(cell).applyInPandas(run, schema)

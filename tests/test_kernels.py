@@ -85,21 +85,39 @@ def panel(seed=0, people=12, blocks=4):
 def test_fixed_effects_equal_dummies():
     person, block, y, x = panel()
     d = regression.prepare(person, block, y, x)
-    r = regression.fit(d)
+    r = regression.estimate(d)
     dummies = np.column_stack([x, person[:, None] == np.arange(12), block[:, None] == np.arange(1, 4)]).astype(float)
     full = np.linalg.lstsq(dummies, y, rcond=None)[0]
-    assert r["b"][:2] == pytest.approx(full[:2])
+    assert r.value[:2] == pytest.approx(full[:2])
+    # the sandwich from the rows, without sums by person
+    bread = np.linalg.inv(d.x.T @ d.x)
+    meat = sum(np.outer(u := d.x[d.person == p].T @ (d.y - d.x @ r.value)[d.person == p], u) for p in range(12))
+    assert r.clustered() == pytest.approx(np.sqrt(np.diag(bread @ meat @ bread) * 12 / 11 * (len(d.y) - 1) / (len(d.y) - 12 - d.x.shape[1])))
     counts = np.random.default_rng(1).integers(0, 3, 12)
     again = np.concatenate([np.flatnonzero(person == p) for p in range(12) for _ in range(counts[p])])
     copies = np.repeat(np.arange(counts.sum()), 4)
-    repeated = regression.fit(regression.prepare(copies, block[again], y[again], x[again]), False)
-    assert regression.solve(d, counts)[:2] == pytest.approx(repeated["b"][:2])
-    left = [regression.fit(regression.prepare(*(v[person != p] for v in (person, block, y, x))), False)["b"][0] for p in range(12)]
-    assert r["se3"][0] == pytest.approx(np.sqrt(11 / 12 * np.sum((np.array(left) - np.mean(left)) ** 2)))
-    w = regression.wild(d, r, 0, 999, np.random.default_rng(2))
-    assert 0 < w["p"] < 0.05
+    repeated = regression.estimate(regression.prepare(copies, block[again], y[again], x[again]))
+    assert regression.solve(d, counts)[:2] == pytest.approx(repeated.value[:2])
+    left = [regression.estimate(regression.prepare(*(v[person != p] for v in (person, block, y, x)))).value[0] for p in range(12)]
+    deleted = regression.without_each(d, r)
+    assert deleted[:, 0] == pytest.approx(left)
+    assert regression.jackknife(deleted)[0] == pytest.approx(np.sqrt(11 / 12 * np.sum((np.array(left) - np.mean(left)) ** 2)))
+    assert 0 < regression.wild(d, r, 0, 999, np.random.default_rng(2)) < 0.05
+    # a replicate by refitting rows whose null residuals change sign
+    null = np.linalg.lstsq(d.x[:, 1:], d.y, rcond=None)[0]
+    sign = np.random.default_rng(5).choice([-1.0, 1.0], 12)
+    flipped = d.x[:, 1:] @ null + sign[d.person] * (d.y - d.x[:, 1:] @ null)
+    refit = regression.estimate(regression.Design(d.gram, regression.by_person(d, d.x * flipped[:, None]), d.x, flipped, d.person, d.absorbed))
+
+    class Signs:
+        def integers(self, low, high, size):
+            return np.broadcast_to((1 - sign) / 2, size)
+
+    for share, p in ((1 - 1e-9, 1.0), (1 + 1e-9, 0.5)):
+        scaled = regression.Slopes(np.abs(refit.value) * share, refit.influence, refit.inflation, refit.rows)
+        assert regression.wild(d, scaled, 0, 1, Signs()) == p
     c = regression.cr2(d)
-    assert c["b"] == pytest.approx(r["b"][0]) and 0.5 < c["se"] / r["se"][0] < 2 and 2 < c["df"] < 12
+    assert c["b"] == pytest.approx(r.value[0]) and 0.5 < c["se"] / r.clustered()[0] < 2 and 2 < c["df"] < 12
     with pytest.raises(ValueError):
         regression.prepare([1, 1], [1, 1], [1, 2], [[1], [2]])
 
@@ -129,8 +147,14 @@ def test_splines():
     up, down = functional.spline_basis(t[1:-1] + h, 1, 20, 10)[0], functional.spline_basis(t[1:-1] - h, 1, 20, 10)[0]
     assert d[1:-1] == pytest.approx((up - down) / (2 * h), abs=1e-4)
     person, time = np.repeat(np.arange(25), 20), np.tile(np.arange(1, 21.0), 25)
-    r = functional.derivative_bands(person, time, 0.3 * time + np.random.default_rng(0).normal(0, 0.1, 500), 1, 20)
-    assert ((r["lower"] < 0.3) & (0.3 < r["upper"])).all()
+    y = 0.3 * time + np.random.default_rng(0).normal(0, 0.1, 500)
+    curve = functional.slope_curve(person, time, y, 1, 20)
+    low, high = curve.band()
+    assert ((low < 0.3) & (0.3 < high)).all() and len(curve.people) == 25 and (curve.support == 25).all()
+    left = [functional.slope_curve(person[person != p], time[person != p], y[person != p], 1, 20).slope for p in range(25)]
+    assert curve.error == pytest.approx(np.sqrt(24 * np.var(left, axis=0)))
+    with pytest.raises(ValueError, match="rank"):
+        functional.slope_curve(np.repeat(np.arange(25), 3), np.tile([1.0, 2, 3], 25), np.zeros(75), 1, 20, least_support=0)
     band = functional.simultaneous_band(np.eye(3), np.zeros(3), np.eye(3), np.random.default_rng(1))
     assert 2.2 < band["critical"] < 2.6
 
@@ -213,6 +237,9 @@ def test_beats(case):
     leads = np.array([x, 0.8 * x, -x]) + rng.normal(0, 0.01, (3, len(x)))
     report = matching.match_report(beats, signal.detect_multilead(leads, 250) / 250, 0.08)
     assert report["sensitivity"] > 0.9
+    for bad in (leads[:2], leads[:, :100], np.where(np.arange(len(x)) == 5, np.nan, leads)):
+        with pytest.raises(ValueError):
+            signal.detect_multilead(bad, 250)
 
 
 def test_flat_has_no_beats_and_shifts_lower_agreement():
