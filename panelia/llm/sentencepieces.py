@@ -249,7 +249,7 @@ def chunked(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, verify_every: int = 16, threads: int = 2) -> DataFrame:
     """``docs`` with ids, n_tokens, round_trip (the ids decode to the text) and parity (the ids are the library's)."""
-    bound_batches(docs.sparkSession, 8)
+    bound_batches(docs.sparkSession, 4)
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one model file
     needed = ("doc_id", "text")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import free_name, pack, stored, unpack
-from .words import as_string, bound_batches, encode, hash_strings, signed, slices, tidy
+from .words import as_string, bound_batches, encode, hash_strings, release, signed, slices, tidy
 
 EDGE = ".,;:!?|\"'()[]{}<>*_-"
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -178,7 +178,7 @@ def frequent(terms: np.ndarray, count: np.ndarray, whole: np.ndarray, s: Setting
 
 def joint_counts(doc: np.ndarray, word: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
     """By label, in how many texts each pair of m words is (on the diagonal: each word)."""
-    out = np.zeros((2, m, m))
+    out = np.zeros((2, m, m), np.float32)
     place = np.searchsorted(doc, np.arange(0, len(y) + 1024, 1024))
     for i, (a, b) in enumerate(zip(place, place[1:], strict=False)):
         some = np.zeros((1024, m), np.float32)
@@ -202,11 +202,12 @@ def paired_terms(lists: pa.Array, y: np.ndarray, often: np.ndarray, s: Settings)
     word = np.where(often[at] == hashes, at, -1)[code]
     doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
     both = joint_counts(doc[word >= 0], word[word >= 0], y, len(often))
-    odds, variance = 0.0, 0.0
+    odds, variance = np.zeros((2, len(often), len(often)), np.float32)
     for k, sign in ((1, 1), (0, -1)):
-        n, joint, own = (y > 0).sum() if k else (y == 0).sum(), both[k], np.diag(both[k])
+        n, joint, own = np.float32((y > 0).sum() if k else (y == 0).sum()), both[k], np.diag(both[k])
         for cell, plus in ((joint, 1), (own[:, None] - joint, -1), (own[None, :] - joint, -1), (n - own[:, None] - own[None, :] + joint, 1)):
-            odds, variance = odds + sign * plus * np.log(cell + 0.5), variance + 1 / (cell + 0.5)
+            odds += sign * plus * np.log(cell + 0.5)
+            variance += 1 / (cell + 0.5)
     z = np.triu(np.where(np.abs(odds) >= s.min_pair_odds, np.abs(odds) / np.sqrt(variance), 0), 1)
     a, b = np.nonzero(z >= s.min_pair_z)
     order = np.lexsort((b, a, -z[a, b]))
@@ -230,7 +231,9 @@ def holding(lists: pa.Array, terms: np.ndarray) -> pa.Array:
 def learn(lists: pa.Array, y: np.ndarray, terms: np.ndarray, often: np.ndarray, s: Settings) -> Model:
     """The model of the terms and of the paired words among the frequent ones; lists hold the words of both."""
     terms = np.union1d(terms, paired_terms(lists, y, often, s))
-    return train(holding(lists, terms), y, terms, s)
+    lists = holding(lists, terms)
+    release()
+    return train(lists, y, terms, s)
 
 
 def constant(y: np.ndarray, s: Settings) -> Model:
@@ -332,7 +335,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     known = rows.mapInArrow(keep, f"doc_id {kind}, toxic int, words array<string>").withColumn("words", F.array_sort("words")).orderBy("doc_id", F.hash("words")).toArrow()
-    return learn(known["words"].combine_chunks(), np.asarray(known["toxic"]).astype(np.float64), terms, often, s)
+    y, lists = np.asarray(known["toxic"]).astype(np.float64), known["words"].combine_chunks()
+    del known
+    return learn(lists, y, terms, often, s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
