@@ -80,7 +80,7 @@ ORACLES = {
     "flag_states": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'unknown' WHEN bool_and(o_orderstatus = 'F') THEN 'all' WHEN bool_or(o_orderstatus = 'F') THEN 'mixed' ELSE 'none' END AS state FROM orders GROUP BY o_custkey",
     "baseline_rows": """SELECT ID, status, CASE WHEN status = 'observed' THEN CAST(h AS DOUBLE) END AS hours_value, CASE WHEN status IN ('conflict', 'out_of_range', 'unknown_flag') THEN 'uninterpretable' END AS reject
       FROM (SELECT *, CASE f WHEN 0 THEN CASE WHEN h IS NULL THEN 'not_applicable' ELSE 'conflict' END WHEN 1 THEN CASE WHEN h IS NULL THEN 'missing' WHEN h > 0 AND h <= 24 THEN 'observed' ELSE 'out_of_range' END ELSE 'unknown_flag' END AS status
-        FROM (SELECT event_id AS ID, event_id % 3 AS f, CASE WHEN event_id % 4 <> 0 THEN event_id % 30 END AS h FROM events WHERE event_id < 3000))""",
+        FROM (SELECT event_id AS ID, event_id % 3 AS f, CASE WHEN event_id % 4 <> 0 THEN event_id % 30 END AS h FROM events))""",
     "presence": "SELECT user_id, bool_or(event_type = 'click') AS has_click, bool_or(event_type = 'error') AS has_error FROM events GROUP BY user_id",
     "waveform_summary": """WITH r AS (SELECT user_id, event_id, round(value) AS x, coalesce(round(value) = lag(round(value)) OVER (PARTITION BY user_id ORDER BY event_id), false) AS same FROM events),
       g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r), l AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) AS n FROM g GROUP BY user_id, run) GROUP BY user_id)
