@@ -1,23 +1,29 @@
 """Substring dedup by compaction of a word de Bruijn graph.
 
-A window of K words is an edge of the graph (its nodes are runs of K - 1 words).  Every window whose words also
-start earlier (smaller document, or same document and earlier place) is a repeat; the words that repeats cover
-are removed.
+A window of K words is an edge of the graph from the run of its first K - 1 words to that of its last K - 1.  Every
+window whose words also start earlier (smaller document, or same document and earlier place) is a repeat; the words
+that repeats cover are removed.
 
 1. Candidates.  Of the M-word sub-windows of a window the one with the least hash (leftmost) is its anchor: equal
    windows have equal anchors.  Anchors are counted over all documents with map-side sums; those that occur
    twice or more go into a bitmap of fixed size, so that windows without a repeated anchor drop out.
 2. Edges.  A task sorts the candidate windows of a slice: all but the first of equal ones are repeats already,
-   and only the first goes on.  Neighbouring windows with one anchor are a nonbranching path and travel as one
-   row, so that a passage that a third of all documents share sends a few rows per slice.  Paths meet by their
-   anchors; windows are equal if both the anchor's and the window's hash are.
-3. Compaction.  Of equal windows all but the one with the least source coordinates are repeats; those that
-   follow each other in a document compact into spans, which a document's join with its text unites.
-4. Spans are joined with the texts of the documents that have any (again by a bitmap of fixed size).
+   and only the first goes on.  Neighbouring windows with one anchor travel as one row of node hashes, so that a
+   passage that a third of all documents share sends a few rows per slice.  Rows meet by their anchors; windows are
+   equal if both of their nodes are.  Of equal windows all but the one with the least source coordinates are
+   repeats.
+3. Compaction.  Repeated edges that follow each other at their sources are segments.  The degrees of all nodes of
+   distinct repeated edges are summed; segments are cut at nodes that branch.  Where one piece ends in a node and
+   one begins there, they are joined if the source coordinates agree; chains of joined pieces compact into paths
+   by pointer jumping, a join a round and as many rounds as the logarithm of the longest chain.
+4. Spans.  The places where a document holds a piece, shifted by the piece's place in its path, are verified
+   to follow each other, and so become one span for each repeated passage.  Spans are joined with the texts of the
+   documents that have any (again by a bitmap of fixed size).
 
 Defined cases: a null text has no words; rows that repeat a doc_id share coordinates: equal coordinates don't
 remove each other, later places of the id do; a null doc_id comes before all others; other columns are ignored.
-A text of fewer than K words keeps all.  No windows, group or number of copies is capped.
+A text of fewer than K words keeps all; a very long one is a slice by itself.  No windows, group or number of copies
+is capped.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bitmap, maybe
@@ -95,14 +101,29 @@ def spans_of(group: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group[first], start[first], start[last] + K
 
 
-EDGES = "h long, doc long, key long, a int, b int, path array<long>"
+EDGES = "h long, doc long, key long, a int, b int, path array<long>, again array<int>"
+
+
+def edge_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(u * BASE + v)
+
+
+def equal_edges(u: np.ndarray, v: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges in the order of their coordinates: the first equal edge of each, and whether it is a repeat (equal coordinates are none)."""
+    w = edge_hash(u, v)
+    order = np.argsort(w, kind="stable")
+    same = np.concatenate([[False], (u[order][1:] == u[order][:-1]) & (v[order][1:] == v[order][:-1])]) if len(order) else np.zeros(0, bool)
+    first = np.empty(len(u), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+    return first, (first != np.arange(len(u))) & ~((doc == doc[first]) & (place == place[first]))
 
 
 def edges_of(part: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    """Paths of candidate windows that come first in this slice, one anchor each, and spans [a, b) that repeat inside it.
+    """Rows of candidate windows that come first in this slice, one anchor each, and spans [a, b) that repeat inside it.
 
-    A path holds the hashes of the windows that begin at the words a, a + 1, ...; a span has no path, and a
-    key that spreads spans.
+    A row holds the nodes at the words a, a + 1, ... (one more than it has windows), and which of its windows the
+    slice repeats; a span has no nodes, and a key that spreads spans.
     """
     part = part.take(pc.sort_indices(part.column("doc_id"), null_placement="at_start"))
     owner, words = split_words(part.column("text"))
@@ -110,26 +131,28 @@ def edges_of(part: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     start, least, anchor = anchors(hashes, owner)
     candidate = maybe(bits, least)
     start, least, anchor = start[candidate], least[candidate], anchor[candidate]
-    with np.errstate(over="ignore"):
-        w = np.zeros(len(start), np.uint64)
-        for j in range(K):
-            w = w * BASE + hashes[start + j]
-    w = mix(w)
+    node = np.zeros(len(hashes), np.uint64)
+    at, value = ngram_hashes(hashes, owner, K - 1)
+    node[at] = value
     begin = np.searchsorted(owner, np.arange(part.num_rows))
     row = owner[start]
     place = start - begin[row]
     ids = np.asarray(pc.fill_null(part.column("doc_id").cast(pa.int64()), int(NO_ID)))
     keys = np.asarray(part.column("key"))
-    order = np.argsort(w, kind="stable")  # equal windows stay in the order of their coordinates
-    same = np.concatenate([[False], (w[order][1:] == w[order][:-1]) & (least[order][1:] == least[order][:-1])]) if len(order) else np.zeros(0, bool)
     # rows of one id share coordinates
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-    tie = same & (ids[row[order]] == ids[row[order[head]]]) & (place[order] == place[order[head]])
-    later = np.zeros(len(start), bool)
-    later[order] = same & ~tie
+    head, later = equal_edges(node[start], node[start + 1], ids[row], place)
     first = np.flatnonzero(~later)
     new = np.flatnonzero(np.concatenate([[True], (np.diff(start[first]) != 1) | (np.diff(anchor[first]) != 0) | (np.diff(row[first]) != 0)])) if len(first) else first
-    path = pa.ListArray.from_arrays(pa.array(np.append(new, len(first)), pa.int32()), pa.array(signed(w[first])))
+    size = np.diff(np.append(new, len(first)))
+    offsets = np.concatenate([[0], np.cumsum(size + 1)])
+    nodes = np.empty(len(first) + len(new), np.uint64)
+    nodes[np.arange(len(first)) + np.repeat(np.arange(len(new)), size)] = node[start[first]]
+    nodes[offsets[1:] - 1] = node[start[first[new + size - 1]] + 1]
+    path = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(nodes)))
+    mark = np.zeros(len(start), bool)
+    mark[head[later]] = True
+    mark, run = mark[first], np.repeat(np.arange(len(new)), size)
+    again = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(run[mark], minlength=len(new)))]), pa.int32()), pa.array((np.arange(len(first)) - new[run])[mark].astype(np.int32)))
     top = first[new]
     g, a, b = spans_of(row[later], place[later])
     spread = signed(mix(ids[g].view(np.uint64) ^ a.astype(np.uint64)))
@@ -141,32 +164,63 @@ def edges_of(part: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
         pa.array(np.concatenate([place[top], a]).astype(np.int32)),
         pa.array(np.concatenate([np.zeros(n, np.int64), b]).astype(np.int32)),
         pa.concat_arrays([path, pa.nulls(m, path.type)]),
+        pa.concat_arrays([again, pa.nulls(m, again.type)]),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "doc", "key", "a", "b", "path"])
+    return pa.RecordBatch.from_arrays(columns, names=["h", "doc", "key", "a", "b", "path", "again"])
+
+
+#: A segment (its n + 1 nodes, its source doc, key and a), a place that holds edges off, off + 1, ... of a segment
+#: (the words [a, b) of doc), or a span [a, b) that needs no segment.
+FOUND = "seg long, nodes array<long>, doc long, key long, a int, b int, off int"
+
+
+def runs(*broken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs that the given breaks between neighbours leave."""
+    breaks = np.logical_or.reduce(broken)
+    new = np.flatnonzero(np.concatenate([[True], breaks]))
+    return new, np.append(new[1:], len(breaks) + 1) - 1
 
 
 def repeats_of(table: pa.Table) -> pa.RecordBatch:
-    """Spans (doc, key, a, b) of the windows that are not the first of their kind; rows are sorted by h, doc, a, groups whole."""
+    """FOUND of whole groups of one anchor; rows are sorted by h, doc, a."""
     is_path = np.asarray(pc.is_valid(table["path"]))
     ready, paths = table.filter(pa.array(~is_path)), table.filter(pa.array(is_path)).combine_chunks()
     sizes = np.asarray(pc.list_value_length(paths["path"])).astype(np.int64)
-    w = np.asarray(pc.list_flatten(paths["path"]))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    inner = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    h, doc, key, a = (np.asarray(paths[c]) for c in ("h", "doc", "key", "a"))
+    nodes = np.asarray(pc.list_flatten(paths["path"])).view(np.uint64)
+    ends = np.cumsum(sizes)
+    u, v = np.delete(nodes, ends - 1), np.delete(nodes, ends - sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes - 1)
+    inner = np.arange(len(u)) - np.repeat(ends - sizes - np.arange(len(sizes)), sizes - 1)
+    doc, key, a = (np.asarray(paths[c]) for c in ("doc", "key", "a"))
     place = a[row] + inner
-    order = np.argsort(w, kind="stable")
-    order = order[np.lexsort((h[row[order]], w[order]))] if len(order) else order
-    same = np.concatenate([[False], (w[order][1:] == w[order][:-1]) & (h[row[order]][1:] == h[row[order]][:-1])]) if len(order) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-    tie = same & (doc[row[order]] == doc[row[order[head]]]) & (place[order] == place[order[head]])
-    later = np.zeros(len(w), bool)
-    later[order] = same & ~tie
-    g, begin, end = spans_of(row[later], place[later])
-    i32 = lambda x: x.astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([np.asarray(ready[c]), x])) for c, x in (("doc", doc[g]), ("key", key[g]), ("a", i32(begin)), ("b", i32(end)))], names=["doc", "key", "a", "b"]
-    )
+    first, later = equal_edges(u, v, doc[row], place)
+    again = np.flatnonzero(later)
+    lists = paths["again"]
+    window = ends - sizes - np.arange(len(sizes))
+    marked = np.repeat(window, np.asarray(pc.list_value_length(lists))) + np.asarray(pc.list_flatten(lists))
+    source = np.unique(first[np.concatenate([again, marked])])
+    names, none = ["seg", "nodes", "doc", "key", "a", "b", "off"], pa.nulls
+    parts = [pa.RecordBatch.from_arrays([none(ready.num_rows, pa.int64()), none(ready.num_rows, pa.list_(pa.int64())), *(ready[c].combine_chunks() for c in ("doc", "key", "a", "b")), none(ready.num_rows, pa.int32())], names=names)]
+    if len(source):
+        one, end = runs(np.diff(source) != 1, np.diff(row[source]) != 0)
+        size = end - one + 1
+        number = np.repeat(np.arange(len(one)), size)
+        segment, offset = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        segment[source], offset[source] = number, np.arange(len(source)) - one[number]
+        name = signed(edge_hash(u, v))[source[one]]
+        bounds = np.concatenate([[0], np.cumsum(size + 1)])
+        line = np.empty(len(source) + len(one), np.uint64)
+        line[np.arange(len(source)) + number] = u[source]
+        line[bounds[1:] - 1] = v[source[end]]
+        s = source[one]
+        i32 = lambda x: pa.array(x, pa.int32())
+        parts.append(pa.RecordBatch.from_arrays([pa.array(name), pa.ListArray.from_arrays(i32(bounds), pa.array(signed(line))), pa.array(doc[row[s]]), pa.array(key[row[s]]), i32(place[s]), none(len(s), pa.int32()), none(len(s), pa.int32())], names=names))
+        if len(again):
+            where, off = segment[first[again]], offset[first[again]]
+            one, end = runs(np.diff(again) != 1, np.diff(row[again]) != 0, np.diff(where) != 0, np.diff(off) != 1)
+            s = again[one]
+            parts.append(pa.RecordBatch.from_arrays([pa.array(name[where[one]]), none(len(s), pa.list_(pa.int64())), pa.array(doc[row[s]]), pa.array(key[row[s]]), i32(place[s]), i32(place[again[end]] + K), i32(off[one])], names=names))
+    return pa.concat_batches([p.cast(parts[0].schema) for p in parts])
 
 
 @tidy
@@ -191,7 +245,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, key, a, b): spans of words that repeat, those of one document possibly overlapping."""
+    """FOUND of all documents."""
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(count_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(bitmap(counts.where("n > 1"), "h", ANCHOR_BITS))
@@ -204,7 +258,69 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # what has one anchor meets in one place; a hot anchor has a row or two for each slice
     met = docs.mapInArrow(run, EDGES).repartition("h").sortWithinPartitions("h", "doc", "a")
-    return met.mapInArrow(by_group, "doc long, key long, a int, b int")
+    return stored(met.mapInArrow(by_group, FOUND), "repeated-edges")
+
+
+def pieces_of(found: DataFrame) -> DataFrame:
+    """(piece, seg, low, high, u, v, doc, key, a): segments cut at the nodes that branch; a piece holds the edges [low, high) of its segment."""
+    segments = found.where("nodes is not null").select("seg", "nodes", "doc", "key", "a", (F.size("nodes") - 1).alias("n"))
+    nodes = segments.select("seg", "n", F.posexplode("nodes").alias("i", "node"))
+    degrees = nodes.groupBy("node").agg(F.count_if(F.col("i") < F.col("n")).alias("n_out"), F.count_if(F.col("i") > 0).alias("n_in"))
+    branching = degrees.where("n_out > 1 or n_in > 1").select("node")
+    cuts = nodes.where("i > 0 and i < n").join(branching, "node").groupBy("seg").agg(F.array_sort(F.collect_list("i")).alias("cuts"))
+    bounds = segments.join(cuts, "seg", "left").withColumn("bounds", F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array("n")))
+    cut = bounds.select("*", F.posexplode(F.slice("bounds", 1, F.size("bounds") - 1)).alias("k", "low")).withColumn("high", F.get("bounds", F.col("k") + 1))
+    piece = F.when(F.col("k") == 0, F.col("seg")).otherwise(F.xxhash64("seg", "k"))
+    return cut.select(piece.alias("piece"), "seg", "low", "high", F.get("nodes", "low").alias("u"), F.get("nodes", "high").alias("v"), "doc", "key", (F.col("a") + F.col("low")).alias("a"))
+
+
+def linked(pieces: DataFrame) -> DataFrame:
+    """(piece, path, before): each piece's predecessor and its edges; itself where a path begins.
+
+    A node is passed through if one piece ends and one begins there, with neighbouring source coordinates.
+    """
+    n = F.col("high") - F.col("low")
+    begins = pieces.groupBy("u").agg(F.count("*").alias("n_out"), F.min(F.struct("piece", "doc", "key", "a")).alias("y")).where("n_out = 1")
+    ends = pieces.groupBy("v").agg(F.count("*").alias("n_in"), F.min(F.struct("piece", "doc", "key", "a", n.alias("n"))).alias("x")).where("n_in = 1")
+    through = begins.join(ends, F.col("u") == F.col("v")).where("x.doc = y.doc and x.key = y.key and x.a + x.n = y.a")
+    links = through.select(F.col("y.piece").alias("piece"), F.col("x.piece").alias("path"), F.col("x.n").alias("before"))
+    return pieces.select("piece").join(links, "piece", "left").select("piece", F.coalesce("path", "piece").alias("path"), F.coalesce("before", F.lit(0)).alias("before"))
+
+
+def compacted(pieces: DataFrame) -> DataFrame:
+    """(piece, path, before): the first piece of each piece's path, and the edges before the piece in it."""
+    chain = stored(linked(pieces), "paths", narrow=True)
+    while True:
+        ahead = chain.where("piece <> path").select(F.col("piece").alias("s"), F.col("path").alias("p"), F.col("before").alias("d"))
+        joined = chain.join(ahead, F.col("path") == F.col("s"), "left")
+        new = stored(joined.select("piece", F.coalesce("p", "path").alias("path"), (F.col("before") + F.coalesce("d", F.lit(0))).alias("before"), F.col("p").isNotNull().alias("moved")), "paths", narrow=True)
+        chain = new.select("piece", "path", "before")
+        if new.where("moved").isEmpty():
+            return chain
+
+
+def repeated_spans(found: DataFrame) -> DataFrame:
+    """(doc, key, a, b): verified spans of words that repeat, one for each passage; those of one document possibly overlapping."""
+    pieces = stored(pieces_of(found), "pieces")
+    placed = pieces.select("piece", "seg", "low", "high").join(compacted(pieces), "piece")
+    held = found.where("off is not null").join(placed, "seg").withColumn("stop", F.col("off") + F.col("b") - F.col("a") - K + 1)
+    held = held.withColumn("from", F.greatest("off", "low")).withColumn("to", F.least("stop", "high")).where("from < to")
+    at = F.col("a") + F.col("from") - F.col("off")
+    held = held.select("doc", "key", "path", at.alias("a"), (at + F.col("to") - F.col("from") + K - 1).alias("b"), (at - F.col("from") + F.col("low") - F.col("before")).alias("shift"))
+    order = Window.partitionBy("doc", "key", "path", "shift").orderBy("a")
+    # the next place holds the path's next edges: its first window follows the last one
+    follows = F.col("a") <= F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)) - K + 1
+    islands = held.withColumn("i", F.sum(F.when(follows, 0).otherwise(1)).over(order))
+    whole = islands.groupBy("doc", "key", "path", "shift", "i").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.select("doc", "key", "a", "b").unionByName(found.where("seg is null").select("doc", "key", "a", "b"))
+
+
+def repeated_paths(docs: DataFrame) -> DataFrame:
+    """(path, doc_id, a, n_words): each compacted path of repeated windows, where it is first."""
+    pieces = stored(pieces_of(repeats(keyed(docs))), "pieces")
+    n = F.sum(F.col("high") - F.col("low")).alias("n")
+    whole = compacted(pieces).join(pieces, "piece").groupBy("path").agg(n, F.min_by(F.struct("doc", "a"), "before").alias("at"))
+    return whole.select("path", F.when(F.col("at.doc") != int(NO_ID), F.col("at.doc")).alias("doc_id"), F.col("at.a").alias("a"), (F.col("n") + K - 1).alias("n_words"))
 
 
 def keep_words(text: str | None, spans: list | None) -> tuple[int, int, list[bytes]]:
@@ -225,7 +341,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     docs = keyed(docs)
-    spans = stored(repeats(docs).groupBy("doc", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    spans = stored(repeated_spans(repeats(docs)).groupBy("doc", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     touched = spark.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("doc", "key").alias("h")), "h", DOC_BITS))
     result = "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text

@@ -503,6 +503,27 @@ def test_substrings_over_slices(awkward, monkeypatch):
     assert collections.Counter(tuple(r) for r in substrings.dedup(docs).collect()) == brute_dedup(by_row(docs))
 
 
+def test_repeated_passages_compact_into_paths(spark):
+    """A passage is one path; where its copies go on differently, paths branch and end."""
+    w = lambda name, n: [f"{name}{i}" for i in range(n)]
+    shared, fork = w("s", 200), w("f", 60)
+    rows = [
+        (1, w("a", 30) + shared + w("b", 30)),
+        (2, shared + w("c", 25)),
+        (3, w("d", 5) + fork + w("x", 40)),
+        (4, w("e", 7) + fork + w("x", 40)),
+        (5, fork + w("y", 40)),
+        (6, fork + w("y", 40)),
+        (7, ["same"] * 70),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["a"], r["n_words"]) for r in substrings.repeated_paths(docs).collect())
+    # a loop of one word is an edge; the fork's windows end where its copies part, and both branches are paths
+    assert got == [(1, 30, 200), (3, 5, 60), (3, 46, 59), (5, 41, 59), (7, 0, 20)]
+    removed = {r["doc_id"]: r["n_removed"] for r in substrings.dedup(docs).collect()}
+    assert removed == {1: 0, 2: 200, 3: 0, 4: 100, 5: 60, 6: 100, 7: 69}
+
+
 # --- 10: media
 
 
