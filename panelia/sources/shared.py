@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The rows of ``frame``, written under spark.checkpoint.dir (a new folder where that is unset) and read back."""
+    """The rows of ``frame``, written under spark.checkpoint.dir (a new folder where that is unset and there is one machine) and read back."""
     spark = frame.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
