@@ -7,7 +7,8 @@ Both models are trained from labelled samples: generated random strings in sever
 words and compound identifiers out of a bounded sample of documents (label 0).  A model is one table of
 len(ALPHABET)**2 numbers, a literal of the plan; nothing is shuffled while texts are scanned.
 
-Positions are code points, ends are exclusive.  Defined cases: a null text is empty and has no span; repeated
+Positions are code points, ends are exclusive.  Defined cases: a null text is empty and has no span; spans of a
+very long text are sorted, not compared with each other; repeated
 rows are scanned one by one; columns besides doc_id and text are left alone; without documents the ordinary
 model is the uniform one.
 """
@@ -41,12 +42,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running(steps: Column) -> Column:
-    """Running sums of an array of longs, by blocks, since appending copies."""
+def running(steps: Column, join: Callable[[Column, Column], Column] = lambda s, x: s + x) -> Column:
+    """Running sums (or what else joins, from 0) of an array of longs, by blocks, since appending copies."""
 
     def block(values: Column, b: Column) -> Column:
-        base = F.aggregate(F.slice(values, 1, b * BLOCK), F.lit(0).cast("long"), lambda s, x: s + x)
-        grown = F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), F.array(base), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+        base = F.aggregate(F.slice(values, 1, b * BLOCK), F.lit(0).cast("long"), join)
+        grown = F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), F.array(base), lambda s, x: F.concat(s, F.array(join(F.element_at(s, -1), x))))
         return F.slice(grown, 2, F.lit(BLOCK))
 
     return let(steps, lambda v: F.when(F.size(v) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: block(v, b)))).otherwise(F.array().cast("array<long>")))
@@ -130,8 +131,13 @@ def find(docs: DataFrame, model: list[float]) -> DataFrame:
     base = F.concat(spans(text, ASSIGN, "assign", lambda b: F.length(b) >= 12, 2), spans(text, ACCESS, "access"), spans(text, HEX, "hex"))
     likely = spans(text, CANDIDATE, "markov", lambda b: ratio(b, table) > THRESHOLD)
     found = docs.withColumn("_base", F.array_sort(F.transform(base, bare))).withColumn("_likely", F.transform(likely, bare))
-    new = F.filter("_likely", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return found.withColumn("_all", F.array_sort(F.concat("_base", new))).drop("_likely")
+    # by start, base spans first: a likely one lies in a base span if one that has begun ends no earlier
+    known = KINDS.index("markov")
+    every = F.array_sort(F.concat("_base", "_likely"))
+    reach = lambda z: running(F.transform(z, lambda x: F.when(x["kind"] < known, x["end"]).otherwise(F.lit(0).cast("long"))), lambda s, x: F.greatest(s, x))
+    marked = let(every, lambda z: F.zip_with(z, reach(z), lambda x, r: F.struct(x.alias("x"), ((x["kind"] < known) | (r < x["end"])).alias("stays"))))
+    kept = F.transform(F.filter(marked, lambda y: y["stays"]), lambda y: y["x"])
+    return found.withColumn("_all", F.when(F.size("_likely") > 0, kept).otherwise(F.col("_base"))).drop("_likely")
 
 
 def secrets(docs: DataFrame) -> DataFrame:

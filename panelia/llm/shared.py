@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir; a folder of its own where that is unset, which only one machine can share."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         name = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", name)
     return name.rstrip("/")

@@ -63,6 +63,24 @@ def test_secrets_method(spark, small):
         assert set(filter(None, render(base_spans(t)).split(","))) <= set(spans)
 
 
+def test_method_spans_inside_base_spans_are_left_out(spark, small):
+    """By plain loops, on texts of many spans too."""
+    rng = np.random.default_rng(4)
+    secret = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    texts = [" ".join(f"{('token=', '', 'x ')[i % 3]}{secret(24)}" for i in range(n)) for n in (1, 7, 2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train(small)
+    for r in secrets.find(docs, model).select("doc_id", "_base", "_all").collect():
+        base = [(b["start"], b["kind"], b["end"]) for b in r["_base"]]
+        likely = []
+        for m in re.finditer(secrets.CANDIDATE, texts[r["doc_id"]]):
+            places = [secrets.ALPHABET.index(c) for c in m[0]]
+            ratio = sum(model[a * len(secrets.ALPHABET) + b] for a, b in itertools.pairwise(places)) / (len(places) - 1)
+            if ratio > secrets.THRESHOLD and not any(a <= m.start() and m.end() <= b for a, _, b in base):
+                likely.append((m.start(), 3, m.end()))
+        assert [(x["start"], x["kind"], x["end"]) for x in r["_all"]] == sorted(base + likely)
+
+
 def test_redact(awkward):
     out = secrets.redact(awkward)
     assert out.columns == awkward.columns
