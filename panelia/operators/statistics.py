@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelia.operators.descriptives import in_time, mean
+from panelia.operators.ordered import harmonic, least_from, running_counts, same
+from panelia.sources.shared import written
 
 
 def quantile_linear(x: Column, p: float) -> Column:
@@ -69,9 +71,9 @@ def fixed_effect_slope(frame: DataFrame, person: str, y: str, x: str) -> DataFra
 
 def average_rank(frame: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Ranks inside a key, ties at their mean."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return frame.withColumn(name, F.rank().over(order) + (ties - 1) / 2)
+    places = running_counts(frame, keys, value)
+    ranked = frame.join(places, same(frame, places, [*keys, value]))
+    return ranked.select(*(frame[c] for c in frame.columns), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
 
 
 def spearman(frame: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -89,13 +91,13 @@ def adjust(frame: DataFrame, p: str, method: str = "BY", family: int | None = No
     """False-discovery-adjusted q of the p-values (BH or BY); NULL stays NULL.  The table is one family."""
     valid = frame.where(F.col(p).isNotNull() & ~F.isnan(p))
     rest = frame.where(F.col(p).isNull() | F.isnan(p)).withColumn("q", F.lit(None).cast("double"))
-    size = F.lit(family) if family else F.lit(frame.count())
-    # one family: ranked in one ordered pass over its p-values
-    order = Window.orderBy(p)
-    back = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    factor = F.aggregate(F.sequence(F.lit(1), size), F.lit(0.0), lambda s, i: s + 1.0 / i) if method == "BY" else F.lit(1.0)
-    ranked = valid.withColumn("_r", F.row_number().over(order)).withColumn("_q", F.col(p) * size * factor / F.col("_r"))
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(back))).drop("_r", "_q").unionByName(rest)
+    size = family or frame.count()
+    factor = harmonic(size) if method == "BY" else 1.0
+    # equal p-values share the last of their ranks, which is what the running minimum gives them
+    places = running_counts(valid, [], p)
+    bounds = places.withColumn("_q", F.col(p) * size * factor / (F.col("below") + F.col("n")))
+    q = least_from(bounds, p, "_q").select(F.col(p).alias("_p"), F.least(F.lit(1.0), F.col("least")).alias("q"))
+    return valid.join(q, F.col(p) == F.col("_p")).drop("_p").unionByName(rest)
 
 
 def clock_fit(anchors: DataFrame, keys: list[str]) -> DataFrame:
@@ -165,19 +167,42 @@ def last_value_errors(features: DataFrame) -> DataFrame:
     return per.agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_people"), (F.sum("a") / F.sum("n")).alias("mae_window"), (F.sum("q") / F.sum("n")).alias("mse_window"), (F.sum(F.col("a") / F.col("n")) / F.count("*")).alias("mae_person"))
 
 
-def band_depth(series: DataFrame, n_minutes: int) -> DataFrame:
-    """Modified band depth of complete series: at each minute the pairs of others that enclose the score, averaged."""
+def complete_series(series: DataFrame, n_minutes: int) -> DataFrame:
+    """The scores of subjects that have ``n_minutes`` of them."""
     whole = Window.partitionBy("subject_id")
-    rows = series.where("vas is not null").withColumn("_n", F.count("*").over(whole)).where(F.col("_n") == n_minutes)
-    at = Window.partitionBy("time_min")
-    order = Window.partitionBy("time_min").orderBy("vas")
-    less = F.rank().over(order) - 1
-    more = F.count("*").over(at) - F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.count("*").over(at)
+    return series.where("vas is not null").withColumn("_n", F.count("*").over(whole)).where(F.col("_n") == n_minutes).drop("_n")
+
+
+def band_depth(series: DataFrame, n_minutes: int) -> DataFrame:
+    """(subject_id, depth, central): modified band depth of complete series, and whether a series is of the deeper half.
+
+    At each minute the share of pairs of series that enclose the score; minutes are weighted by the trapezoid rule.
+    NULL with one series or one minute.
+    """
+    rows = complete_series(series, n_minutes)
+    places = running_counts(rows, ["time_min"], "vas")
+    # one row a minute
+    minutes = places.groupBy("time_min").agg(F.sum("n").alias("people"))
+    t = F.col("time_min")
+    steps = [F.coalesce(F.lead(t).over(Window.orderBy(t)) - t, F.lit(0)), F.coalesce(t - F.lag(t).over(Window.orderBy(t)), F.lit(0))]
+    minutes = minutes.select("time_min", "people", (steps[0] + steps[1]).cast("long").alias("w"))
+    less, n = F.col("below"), F.col("people")
+    more = n - less - F.col("n")
     pairs = n * (n - 1) / 2
-    outside = less * (less - 1) / 2 + more * (more - 1) / 2
-    marked = rows.select("subject_id", "time_min", (pairs - outside).cast("long").alias("k"), pairs.cast("long").alias("pairs"))
-    return marked.groupBy("subject_id").agg((F.sum("k").cast("double") / F.sum("pairs")).alias("depth"))
+    inside = (pairs - less * (less - 1) / 2 - more * (more - 1) / 2).cast("long")
+    marked = rows.select("subject_id", "time_min", "vas").join(places.join(minutes, "time_min").select("time_min", "vas", "w", inside.alias("k"), pairs.cast("long").alias("pairs")), ["time_min", "vas"])
+    depths = marked.groupBy("subject_id").agg(F.try_divide(F.sum(F.col("w") * F.col("k")).cast("double"), F.sum(F.col("w") * F.col("pairs"))).alias("depth"))
+    depths = written(depths, "depths")
+    order = running_counts(depths, [], "depth")
+    total = order.agg(F.sum("n").alias("people"))
+    half = order.join(F.broadcast(total)).where(F.col("people") - F.col("below") >= F.ceil(F.col("people") / 2)).agg(F.max("depth").alias("cutoff"))
+    return depths.join(F.broadcast(half)).select("subject_id", "depth", (F.col("depth") >= F.col("cutoff") - 1e-12).alias("central"))
+
+
+def band_envelope(series: DataFrame, n_minutes: int) -> DataFrame:
+    """(time_min, low, high): the range of the central series at each minute."""
+    central = band_depth(series, n_minutes).where("central").select("subject_id")
+    return complete_series(series, n_minutes).join(central, "subject_id").groupBy("time_min").agg(F.min("vas").alias("low"), F.max("vas").alias("high"))
 
 
 def two_way_slope(frame: DataFrame, person: str, block: str, y: str, x: str, sweeps: int = 4) -> DataFrame:

@@ -81,11 +81,19 @@ QUERIES |= {
     "lagged_features": lambda s, d: st.lagged_features(panel(s, d)),
     "last_value_errors": lambda s, d: st.last_value_errors(st.lagged_features(panel(s, d))).withColumn("mae_person", F.round("mae_person", 6)),
     "band_depth": lambda s, d: st.band_depth(panel(s, d).where("time_min <= 5"), 5),
+    "band_envelope": lambda s, d: st.band_envelope(panel(s, d).where("time_min <= 5"), 5),
 }
 
 BLOCKS = "blocks AS (SELECT o_custkey, CAST(extract(year FROM o_orderdate) AS INTEGER) AS block, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS y, count(*) AS x FROM orders GROUP BY ALL)"
 CLICKS = "clicks AS (SELECT user_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS t FROM events WHERE event_type = 'click'), gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM clicks)"
 OKS = f"oks AS (SELECT *, gap BETWEEN {LOW} AND {HIGH} AS ok FROM gaps WHERE gap IS NOT NULL)"
+DEPTHS = [
+    "c AS (SELECT * FROM panel WHERE time_min <= 5 AND subject_id IN (SELECT subject_id FROM panel WHERE time_min <= 5 GROUP BY subject_id HAVING count(vas) = 5))",
+    "sides AS (SELECT a.subject_id, a.time_min, count(*) AS n, count(*) FILTER (b.vas < a.vas) AS l, count(*) FILTER (b.vas > a.vas) AS g FROM c a JOIN c b USING (time_min) GROUP BY a.subject_id, a.time_min)",
+    """depths AS (SELECT subject_id, CAST(sum(w * (n * (n - 1) // 2 - l * (l - 1) // 2 - g * (g - 1) // 2)) AS DOUBLE) / sum(w * (n * (n - 1) // 2)) AS depth
+      FROM (SELECT *, CASE WHEN time_min IN (1, 5) THEN 1 ELSE 2 END AS w FROM sides) GROUP BY subject_id)""",
+    "half AS (SELECT depth AS cutoff FROM (SELECT depth, row_number() OVER (ORDER BY depth DESC) AS k, count(*) OVER () AS n FROM depths) WHERE k = (n + 1) // 2)",
+]
 LAGS = """lags AS (SELECT p.subject_id, p.time_min, a.vas AS x1, b.vas AS x2, c.vas AS x3, p.vas AS y FROM panel p JOIN panel a ON a.subject_id = p.subject_id AND a.time_min = p.time_min - 3
   JOIN panel b ON b.subject_id = p.subject_id AND b.time_min = p.time_min - 2 JOIN panel c ON c.subject_id = p.subject_id AND c.time_min = p.time_min - 1 WHERE a.vas + b.vas + c.vas + p.vas IS NOT NULL)"""
 ORACLES = {
@@ -128,9 +136,6 @@ ORACLES = {
     "last_value_errors": with_panel(
         "SELECT CAST(sum(n) AS BIGINT) AS n_windows, count(*) AS n_people, sum(a) / sum(n) AS mae_window, sum(q) / sum(n) AS mse_window, round(sum(a / n) / count(*), 6) AS mae_person FROM (SELECT subject_id, count(*) AS n, sum(abs(y - x3)) AS a, sum((y - x3) * (y - x3)) AS q FROM lags GROUP BY subject_id)", LAGS
     ),
-    "band_depth": with_panel(
-        """SELECT subject_id, CAST(sum(k) AS DOUBLE) / sum(pairs) AS depth FROM (SELECT a.subject_id, a.time_min, n * (n - 1) // 2 - l * (l - 1) // 2 - g * (g - 1) // 2 AS k, n * (n - 1) // 2 AS pairs
-          FROM (SELECT a.subject_id, a.time_min, count(*) AS n, count(*) FILTER (b.vas < a.vas) AS l, count(*) FILTER (b.vas > a.vas) AS g FROM c a JOIN c b USING (time_min) GROUP BY a.subject_id, a.time_min) a) GROUP BY subject_id""",
-        "c AS (SELECT * FROM panel WHERE time_min <= 5 AND subject_id IN (SELECT subject_id FROM panel WHERE time_min <= 5 GROUP BY subject_id HAVING count(vas) = 5))",
-    ),
+    "band_depth": with_panel("SELECT subject_id, depth, depth >= cutoff - 1e-12 AS central FROM depths, half", *DEPTHS),
+    "band_envelope": with_panel("SELECT time_min, min(vas) AS low, max(vas) AS high FROM c JOIN depths USING (subject_id), half WHERE depth >= cutoff - 1e-12 GROUP BY time_min", *DEPTHS),
 }
