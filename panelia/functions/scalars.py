@@ -88,3 +88,18 @@ def rule_ranking(symptoms: Column, regions: Column, rules: dict[str, dict[str, l
     scored = F.array(*(F.struct((-rule_score(symptoms, regions, r)).alias("key"), F.lit(i).alias("at"), F.lit(n).alias("name")) for i, (n, r) in enumerate(rules.items())))
     ordered = F.array_sort(F.filter(scored, lambda x: x["key"] < 0))
     return F.transform(ordered, lambda x: F.struct((-x["key"]).alias("score"), x["name"].alias("name")))
+
+
+def relocated_path(path: Column, roots: list[str], root: str) -> Column:
+    """(path, reason): a path under a registered old root is placed under ``root``; one that climbs out is refused.
+
+    The first root that is the path or a folder above it counts, in either case; other paths stay, with forward slashes.
+    """
+    raw = F.regexp_replace(path, r"\\", "/")
+    found = F.lit(None).cast("string")
+    for old in reversed([r.replace("\\", "/").rstrip("/") for r in roots]):
+        under = (F.lower(raw) == old.lower()) | F.startswith(F.lower(raw), F.lit(old.lower() + "/"))
+        found = F.when(under, F.regexp_replace(F.substring(raw, len(old) + 1, 1 << 30), "^/+", "")).otherwise(found)
+    climbs = F.coalesce(F.array_contains(F.split(found, "/"), ".."), F.lit(False))
+    moved = F.regexp_replace(F.concat(F.lit(root.rstrip("/") + "/"), found), "/$", "")
+    return F.struct(F.when(~climbs, F.coalesce(moved, raw)).alias("path"), F.when(climbs, "parent_traversal").when(found.isNotNull(), "relocated").otherwise("").alias("reason"))

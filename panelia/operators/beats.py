@@ -50,3 +50,69 @@ def sweep_summary(rows: DataFrame, keys: list[str], scenario: list[str], anchor:
     at = rows.where(" and ".join(f"{k} = {v}" for k, v in anchor.items())).select(*keys, F.col(value).alias("_a"))
     apart = F.abs(F.col(value) - F.col("_a"))
     return rows.join(at, keys, "left").groupBy(*scenario).agg(F.count("*").alias("n"), F.count(value).alias("n_candidates"), F.median(apart).alias("median_distance"), F.max(apart).alias("max_distance"))
+
+
+def middle(values: Column) -> Column:
+    """The median of an array; NULL if it is empty."""
+    s, n = F.array_sort(values), F.size(values)
+    at = lambda k: F.get(s, k.cast("int"))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+
+
+def beat_metrics(beats: DataFrame, record: str, time: str, low: float = 0.3, high: float = 2.0, jump: float = 0.2, reach: int = 5, spread: float = 3.0, least: float = 120.0) -> DataFrame:
+    """Rate and variability of each record from intervals in range, without a jump and near their neighbours' median.
+
+    A record of fewer than three beats has no valid interval; a record without beats has no row. Ties in time count as
+    beats of interval zero, which is out of range.
+    """
+    order = Window.partitionBy(record).orderBy("_t")
+    rows = beats.select(record, F.col(time).alias("_t")).where("_t is not null").withColumn("v", F.col("_t") - F.lag("_t").over(order))
+    n_beats = F.count("*").over(Window.partitionBy(record))
+    rows = rows.withColumn("p", F.lag("v").over(order)).withColumn("near", F.collect_list("v").over(order.rowsBetween(-reach, reach))).withColumn("beats", n_beats)
+    m = middle(F.col("near"))
+    rows = rows.withColumn("m", m).withColumn("d", middle(F.transform("near", lambda x: F.abs(x - F.col("m")))) * 1.4826)
+    steady = F.col("p").isNull() | (F.abs(F.col("v") - F.col("p")) / F.greatest("p", F.lit(1e-9)) <= jump)
+    good = F.col("v").between(low, high) & steady & ((F.col("d") == 0) | (F.abs(F.col("v") - F.col("m")) <= spread * F.col("d"))) & (F.col("beats") >= 3)
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = rows.withColumn("pair", F.when(F.col("good") & F.lag("good").over(order), F.col("v") - F.col("p"))).withColumn("run", F.sum((~F.col("good")).cast("int")).over(order))
+    v = F.when(F.col("good"), F.col("v"))
+    runs = rows.groupBy(record, "run").agg(F.count(v).alias("length"))
+    longest = runs.groupBy(record).agg(F.max("length").alias("length"))
+    out = rows.groupBy(record).agg(
+        F.count("*").alias("r_peaks"), F.count(v).alias("nn_valid"), F.avg(v).alias("_mean"), F.sqrt(F.avg(F.col("pair") * F.col("pair"))).alias("_r"), F.median(v).alias("_median")
+    )
+    seconds = F.coalesce(F.col("length") * F.col("_median"), F.lit(0.0))
+    return out.join(longest, record).select(
+        record, "r_peaks", (F.col("r_peaks") - 1).alias("rr_total"), "nn_valid", F.coalesce(F.try_divide("nn_valid", F.col("r_peaks") - 1), F.lit(0.0)).alias("nn_valid_fraction"),
+        F.try_divide(F.lit(60.0), "_mean").alias("mean_hr_bpm"), (F.col("_r") * 1000).alias("rmssd_ms"), seconds.alias("longest_contiguous_s"),
+        F.when(seconds >= least, "estimable_candidate").otherwise("ECG_SAMPEN_INESTIMABLE").alias("sampen_status"),
+    )
+
+
+def event_windows(samples: DataFrame, events: DataFrame, record: str, index: str, value: str, left: int, right: int) -> DataFrame:
+    """(record, event, offset, y): samples at offsets [left, right) of events, of whole windows only.
+
+    ``events`` holds record and index; a window that lacks a sample, at an end or in a gap, is left out. Events are
+    spread to ``right - left`` places and joined by record and place, so that a long record meets many tasks.
+    """
+    places = events.select(record, F.col(index).alias("event"), F.explode(F.sequence(F.lit(left), F.lit(right - 1))).alias("offset")).withColumn("_i", F.col("event") + F.col("offset"))
+    rows = places.join(samples.select(record, F.col(index).alias("_i"), F.col(value).alias("y")).where("y is not null"), [record, "_i"])
+    whole = F.count("*").over(Window.partitionBy(record, "event")) == right - left
+    return rows.withColumn("_whole", whole).where("_whole").select(record, "event", "offset", "y")
+
+
+def projections(windows: DataFrame, record: str, template: dict[int, float]) -> DataFrame:
+    """Correlation with a template by offset, the factor that fits it, and both sides' root mean squares; flat windows have no row."""
+    t = F.create_map(*(F.lit(x) for pair in template.items() for x in (pair[0], float(pair[1]))))[F.col("offset")]
+    rows = windows.withColumn("t", t)
+    out = rows.groupBy(record, "event").agg(F.corr("y", "t").alias("correlation"), F.regr_slope("y", "t").alias("factor"), F.stddev_pop("y").alias("rms"), F.stddev_pop("t").alias("template_rms"))
+    return out.where("rms > 0 and template_rms > 0")
+
+
+def morphology_score(windows: DataFrame, record: str) -> DataFrame:
+    """The median over a record's windows of their correlation with the record's median window, at least 0; 0 below three windows."""
+    template = windows.groupBy(record, "offset").agg(F.median("y").alias("t"))
+    by_event = windows.join(template, [record, "offset"]).groupBy(record, "event").agg(F.corr("y", "t").alias("c"), F.stddev_pop("y").alias("sy"), F.stddev_pop("t").alias("st"))
+    c = F.when((F.col("sy") > 0) & (F.col("st") > 0), F.greatest("c", F.lit(0.0)))
+    out = by_event.groupBy(record).agg(F.count("*").alias("n_windows"), F.median(c).alias("m"))
+    return out.select(record, "n_windows", F.when(F.col("n_windows") >= 3, F.coalesce("m", F.lit(0.0))).otherwise(0.0).alias("score"))

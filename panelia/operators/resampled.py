@@ -7,6 +7,8 @@ a replicate, with the person's multiplicity.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,20 @@ def variability_statistics(windows: DataFrame, early: tuple[int, int], late: tup
     pair = long.groupBy("subject_id", "metric").agg((F.max(F.when(at(late), F.col("value"))) - F.max(F.when(at(early), F.col("value")))).alias("value"))
     name = F.concat(F.lit(f"paired_{late[0]}_{late[1]}_minus_{early[0]}_{early[1]}_"), "metric")
     return own.unionByName(pair.select("subject_id", name.alias("statistic"), "value"))
+
+
+def order_ranks(sizes: DataFrame, size: str, probability: float, gamma: float) -> DataFrame:
+    """For each distinct size n, the ranks between which a quantile lies with probability 1 - gamma, by enumerating the binomial.
+
+    Ranks 0 and n + 1 stand for no bound. Rows grow with n: n + 2 for each distinct size.
+    """
+    n, k, log = F.col(size), F.col("k"), F.log
+    rows = sizes.select(size).where(n >= 1).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), n.cast("int"))))
+    order = Window.partitionBy(size).orderBy("k")
+    ways = F.sum(F.when(k > 0, log((n - k + 1) / k)).otherwise(0.0)).over(order)
+    rows = rows.withColumn("mass", F.exp(ways + k * math.log(probability) + (n - k) * math.log1p(-probability)))
+    rows = rows.withColumn("below", F.coalesce(F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    rows = rows.withColumn("above", F.sum("mass").over(order.rowsBetween(1, Window.unboundedFollowing)))
+    low = F.max(F.when(F.col("below") <= gamma / 2, k))
+    high = F.min(F.when(F.coalesce("above", F.lit(0.0)) <= gamma / 2, k + 1))
+    return rows.groupBy(size).agg(low.alias("lower_rank"), high.alias("upper_rank"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,37 @@ def epochs(events: DataFrame, record: str, time: str, value: str, length: float,
     first = F.floor((F.col(time) - length) / step) + 1
     rows = events.withColumn("epoch", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     return rows.groupBy(record, "epoch").agg(F.count("*").alias("n"), F.median(value).alias("median"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr")).withColumn("start", F.col("epoch") * step)
+
+
+def sine_fit(samples: DataFrame, record: str, time: str, value: str, cycles_per_minute: float) -> DataFrame:
+    """Amplitude and phase of the least-squares sine of one frequency, from sums only; NULL where time doesn't tell both parts apart."""
+    w = 2 * math.pi * cycles_per_minute / 60
+    s, c, x = F.sin(w * F.col(time)), F.cos(w * F.col(time)), F.col(value)
+    sums = samples.where(x.isNotNull() & F.col(time).isNotNull()).groupBy(record).agg(F.sum(s * s).alias("ss"), F.sum(c * c).alias("cc"), F.sum(s * c).alias("sc"), F.sum(s * x).alias("sx"), F.sum(c * x).alias("cx"))
+    solve = lambda text: F.expr(f"case when ss * cc - sc * sc > 1e-9 * ss * cc then ({text}) / (ss * cc - sc * sc) end")
+    rows = sums.select(record, solve("cc * sx - sc * cx").alias("a"), solve("ss * cx - sc * sx").alias("b"))
+    return rows.select(record, F.hypot("a", "b").alias("amplitude"), F.atan2("b", "a").alias("phase"))
+
+
+def band_integral(spectrum: DataFrame, record: str, frequency: str, power: str, low: float, high: float) -> DataFrame:
+    """The integral over [low, high] of the straight lines between neighbouring points; 0 where none reaches in."""
+    order = Window.partitionBy(record).orderBy(frequency)
+    f0, p0 = F.lag(frequency).over(order), F.lag(power).over(order)
+    rows = spectrum.select(record, f0.alias("f0"), p0.alias("p0"), F.col(frequency).alias("f1"), F.col(power).alias("p1"))
+    rows = rows.withColumn("a", F.greatest(F.lit(low), "f0")).withColumn("b", F.least(F.lit(high), "f1"))
+    # the mean of a line over a stretch is its value at the middle
+    at_middle = F.col("p0") + (F.col("p1") - F.col("p0")) / (F.col("f1") - F.col("f0")) * ((F.col("a") + F.col("b")) / 2 - F.col("f0"))
+    area = F.when(F.col("f0").isNotNull() & (F.col("a") < F.col("b")), at_middle * (F.col("b") - F.col("a"))).otherwise(0.0)
+    return rows.groupBy(record).agg(F.sum(area).alias("integral"))
+
+
+def step_profile(samples: DataFrame, record: str, index: str, value: str) -> DataFrame:
+    """The share of steps that are zero, and the share of the commonest step in units of the median step's size (8 places).
+
+    A record of one sample has no step: its shares are NULL and 1.
+    """
+    steps = samples.select(record, (F.col(value) - F.lag(value).over(Window.partitionBy(record).orderBy(index))).alias("d"))
+    scale = steps.groupBy(record).agg(F.median(F.abs("d")).alias("m"), F.count("d").alias("n"), F.count_if(F.col("d") == 0).alias("z"))
+    unit = F.round(F.col("d") / F.greatest("m", F.lit(2.2250738585072014e-308)), 8)
+    most = steps.where("d is not null").join(scale, record).groupBy(record, unit.alias("u")).count().groupBy(record).agg(F.max("count").alias("most"))
+    return scale.join(most, record, "left").select(record, F.col("n").alias("n_steps"), F.try_divide("z", "n").alias("zero_share"), F.coalesce(F.try_divide("most", "n"), F.lit(1.0)).alias("modal_share"))

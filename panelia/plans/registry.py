@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelia.plans import joins, kernels, labels, panels, records, resampled, scalars, statistics
+from panelia.plans import joins, kernels, labels, panels, records, reports, resampled, scalars, statistics
 
-MODULES = (panels, joins, scalars, statistics, records, kernels, labels, resampled)
+MODULES = (panels, joins, scalars, statistics, records, kernels, labels, resampled, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
