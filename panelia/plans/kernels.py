@@ -1,4 +1,4 @@
-"""Queries of kernels: sequential and iterative operators, without an SQL form."""
+"""Queries of kernels: sequential and iterative operators, most of them without an SQL form."""
 
 from __future__ import annotations
 
@@ -72,4 +72,8 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (matched_trains, anchored_gaps, edge_clusters, welch_summary, bootstrap_intervals, poisson_intervals, fixed_effects, prediction_errors, cluster_stability, cluster_labels, endpoint_precision, component_scores)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "edge_clusters": """WITH RECURSIVE e AS (SELECT DISTINCT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6::DOUBLE AS t FROM events WHERE event_type = 'click'),
+      c AS (SELECT user_id, 0::BIGINT AS cluster, min(t) AS first FROM e GROUP BY user_id UNION ALL SELECT c.user_id, c.cluster + 1, min(e.t) FROM c JOIN e ON e.user_id = c.user_id AND e.t - c.first > 21600 GROUP BY c.user_id, c.cluster)
+      SELECT e.user_id, cluster, first AS start, max(t) AS "end", count(*) AS n FROM e ASOF JOIN c ON e.user_id = c.user_id AND e.t >= c.first GROUP BY ALL""",
+}
