@@ -79,11 +79,14 @@ def average_rank(frame: DataFrame, keys: list[str], value: str, name: str) -> Da
 def spearman(frame: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation of each key; NULL under three rows or without a spread."""
     rows = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(rows, keys, x, "_rx"), keys, y, "_ry").select(*keys, (2 * F.col("_rx")).cast("long").alias("a"), (2 * F.col("_ry")).cast("long").alias("b"))
-    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("a")).alias("qa"), F.sum(F.col("b") * F.col("b")).alias("qb"), F.sum(F.col("a") * F.col("b")).alias("qab"))
-    n = F.col("n")
-    va, vb = n * F.col("qa") - F.col("sa") * F.col("sa"), n * F.col("qb") - F.col("sb") * F.col("sb")
-    rho = (n * F.col("qab") - F.col("sa") * F.col("sb")) / (F.sqrt(va) * F.sqrt(vb))
+    # twice the ranks, whole; they add up to n (n + 1).  Squares outgrow a long at a million rows of a key
+    whole = lambda c: (2 * F.col(c)).cast("decimal(15,0)")
+    ranked = average_rank(average_rank(rows, keys, x, "_rx"), keys, y, "_ry").select(*keys, whole("_rx").alias("a"), whole("_ry").alias("b"))
+    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("a")).alias("qa"), F.sum(F.col("b") * F.col("b")).alias("qb"), F.sum(F.col("a") * F.col("b")).alias("qab"))
+    n, up = F.col("n"), (F.col("n") + 1).cast("decimal(12,0)")
+    centre = F.col("n").cast("decimal(12,0)") * up * up
+    va, vb, vab = ((F.col(q) - centre).cast("double") for q in ("qa", "qb", "qab"))
+    rho = vab / (F.sqrt(va) * F.sqrt(vb))
     return s.select(*keys, "n", F.when((n >= 3) & (va > 0) & (vb > 0), rho).alias("rho"))
 
 

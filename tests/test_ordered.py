@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,15 @@ def test_average_rank(parted):
         assert found[i] == sum(at) / len(at)
 
 
+def test_spearman_of_many_rows(spark):
+    # n times the sum of squared ranks is over 2**63
+    n = 80_000
+    frame = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") / 2).cast("long").alias("x"), (F.col("id") * 7919 % n).alias("y"))
+    [r] = statistics.spearman(frame, ["k"], "x", "y").collect()
+    i = np.arange(n)
+    assert (r.n, r.rho) == (n, pytest.approx(np.corrcoef(i // 2 * 2 + 0.5, i * 7919 % n)[0, 1], abs=1e-12))
+
+
 @pytest.mark.parametrize("method", ["BH", "BY"])
 def test_adjust(parted, method):
     made = [(i, None if i % 50 == 0 else (i * 37 % 101 + 1) / 202.0) for i in range(300)]
