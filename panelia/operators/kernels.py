@@ -30,12 +30,12 @@ def match_trains(left: DataFrame, right: DataFrame, key: str, time: str, toleran
 
 
 def anchored_gaps(times: DataFrame, key: str, time: str, low: float, high: float, jump: float) -> DataFrame:
-    """(key, start, gap, status, block, relock): the anchor rule over each key's gaps."""
+    """(key, start, gap, status, block, relock): the anchor rule over each key's gaps; a key of one event has none."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(rows[time].to_numpy(float))
         found = intervals.anchored(np.diff(t), low, high, jump)
-        return pd.DataFrame({key: rows[key].iloc[0], "start": t[:-1], "gap": np.diff(t), "status": [r["status"] for r in found], "block": [r["block"] for r in found], "relock": [r["relock"] for r in found]})
+        return pd.DataFrame({key: rows[key].iloc[0], "start": t[:-1], "gap": np.diff(t), "status": np.array([r["status"] for r in found], object), "block": [r["block"] for r in found], "relock": [r["relock"] for r in found]})
 
     kind = times.schema[key].dataType.simpleString()
     return times.select(key, time).groupBy(key).applyInPandas(run, f"{key} {kind}, start double, gap double, status string, block long, relock boolean")

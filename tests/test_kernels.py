@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from panelia.kernels import clustering, distributions, functional, intervals, matching, regression, signal, streams
+from panelia.operators import kernels
 
 
 def brute_match(a, b, tolerance):
@@ -54,6 +55,13 @@ def test_anchor_rule():
     assert r["n"] == 3 and r["n_pairs"] == 1 and r["mean_ms"] == pytest.approx((1000 + 1000 + 900) / 3)
 
 
+def test_anchored_gaps_of_lone_events(spark):
+    frame = spark.createDataFrame([(1, 5.0), (2, 1.0), (2, 100.0), (3, 7.0)], "user_id long, t double")
+    [r] = kernels.anchored_gaps(frame, "user_id", "t", 60.0, 86_400.0, 0.25).collect()
+    assert r == (2, 1.0, 99.0, "plausible", 0, False)
+    assert kernels.anchored_gaps(frame.where("user_id <> 2"), "user_id", "t", 60.0, 86_400.0, 0.25).collect() == []
+
+
 def test_distributions():
     assert distributions.t_sf(0, 5) == pytest.approx(0.5)
     assert distributions.t_sf(1, 1) == pytest.approx(0.25)  # Cauchy
