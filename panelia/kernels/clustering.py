@@ -7,17 +7,30 @@ from itertools import permutations
 import numpy as np
 
 
-def dtw_matrix(x: np.ndarray, radius: int = 2) -> np.ndarray:
-    """Dynamic-time-warping distances (squared cost, band of ``radius``, square root) of all pairs of rows at once."""
-    x = np.asarray(x, float)
-    n, m = x.shape
-    cost = (x[:, None, :, None] - x[None, :, None, :]) ** 2
-    total = np.full((n, n, m + 1, m + 1), np.inf)
-    total[:, :, 0, 0] = 0
+def dtw_to(x: np.ndarray, y: np.ndarray, radius: int = 2) -> np.ndarray:
+    """Dynamic-time-warping distances (squared cost, band of ``radius``, square root) of the rows of x to those of y.
+
+    Two rows of the table of partial costs are held, each of as many cells as the band has.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    m, shape = x.shape[1], (len(x), len(y))
+    before = {0: np.zeros(shape)}
     for i in range(1, m + 1):
+        now: dict[int, np.ndarray] = {}
         for j in range(max(1, i - radius), min(m, i + radius) + 1):
-            total[:, :, i, j] = cost[:, :, i - 1, j - 1] + np.minimum(np.minimum(total[:, :, i - 1, j], total[:, :, i, j - 1]), total[:, :, i - 1, j - 1])
-    return np.sqrt(total[:, :, m, m])
+            cost = x[:, None, i - 1] - y[None, :, j - 1]
+            cost *= cost
+            ways = [w for w in (before.get(j), now.get(j - 1), before.get(j - 1)) if w is not None]
+            least = ways[0] if len(ways) == 1 else np.minimum(ways[0], ways[1])
+            cost += np.minimum(least, ways[2], out=least) if len(ways) == 3 else least
+            now[j] = cost
+        before = now
+    return np.sqrt(before[m])
+
+
+def dtw_matrix(x: np.ndarray, radius: int = 2) -> np.ndarray:
+    """The distances of ``dtw_to`` of all pairs of rows."""
+    return dtw_to(x, x, radius)
 
 
 def dtw(a, b, radius: int = 2) -> float:

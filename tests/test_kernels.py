@@ -5,9 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelia.kernels import clustering, distributions, functional, intervals, matching, regression, signal, streams
-from panelia.operators import kernels
+from panelia.operators import clusters, kernels
 
 
 def brute_match(a, b, tolerance):
@@ -193,6 +194,23 @@ def test_clustering():
     assert m["accuracy"] == pytest.approx(2 / 3) and m["balanced_accuracy"] == 0.75 and m["macro_f1"] == pytest.approx((2 / 3 + 2 / 3) / 3)
 
 
+def test_stability_of_many_people(spark):
+    n, replicates, seed = 2100, 2, 5
+    cell = F.pmod(F.xxhash64("id", "time_min"), F.lit(300)) + 900 * F.pmod("id", F.lit(2))
+    panel = spark.range(n).withColumn("time_min", F.explode(F.sequence(F.lit(1), F.lit(4)))).select(F.col("id").cast("string").alias("subject_id"), "time_min", cell.cast("double").alias("vas"))
+    found = clusters.stability(panel, 4, "dtw_medoids", 3, replicates, seed).orderBy("replicate").collect()
+    rows = panel.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("time_min", "vas"))).alias("y")).orderBy("subject_id").collect()
+    x = np.array([[v.vas for v in r.y] for r in rows])
+    distance = clustering.dtw_matrix(x)
+    _, whole = clustering.medoids(distance, 3, streams.generator(seed, "dtw_medoids", 3, "whole"))
+    for r in range(replicates):
+        drawn = np.repeat(np.arange(n), streams.multiplicities(seed, "dtw_medoids-3", r, n))
+        places, _ = clustering.medoids(distance[np.ix_(drawn, drawn)], 3, streams.generator(seed, "dtw_medoids", 3, r))
+        labels = distance[:, drawn[places]].argmin(1)
+        out = np.setdiff1d(np.arange(n), drawn)
+        assert found[r] == (r, clustering.adjusted_rand(whole, labels), clustering.adjusted_rand(whole[out], labels[out]), clustering.matched_jaccard(whole, labels, 3))
+
+
 def test_filter_and_resample():
     rate, t = 250, np.arange(0, 20, 1 / 250)
     s = signal.bandpass_sections(3, 5, 20, rate)
