@@ -7,9 +7,9 @@ neighbour is nearer to it by the factor ``alpha``, and the edges are added in bo
 where a point has more than ``degree``.  Queries are searched in every shard with a beam; distances of the
 result are computed in double precision on the original vectors.
 
-The queries (a stated set, a hundredth of the rows) come to the shards in blocks of at most ``query_block``,
-each joined with each shard's graph, which is built once and kept in the shared folder; a shard's results
-are cut to k per query before they are merged.
+The graphs are built once and kept in the shared folder.  The queries (a stated set, a hundredth of the rows) go
+to the tasks that read them in blocks of about ``query_block``, one after the other, so that neither a graph
+nor a query travels with each pair of both; a task's results are cut to k per query before they are merged.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of
 different lengths are never compared; ties go to the smaller vec_id; repeated ids are candidates of their own,
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ class Settings:
     alpha: float = 1.2
     batch: int = 512
     shard_rows: int = 8192
-    query_block: int = 4096
+    query_block: int = 16384
     seed: int = 11
 
 
@@ -226,33 +227,45 @@ def nearest(frame: DataFrame, s: Settings = Settings(), is_query: str = "vec_id
         ids = np.asarray(table["vec_id"])
         return ids, np.asarray(table["v"].combine_chunks().flatten()).reshape(len(ids), -1)
 
-    def one(columns: dict[str, tuple]) -> pa.Table:
-        return pa.table({k: pa.array([v], t) for k, (v, t) in columns.items()})
-
     def build_index(key: tuple, table: pa.Table) -> pa.Table:
         i = index_shard(*arrays(table), s)
-        packed = {n: (np.ascontiguousarray(getattr(i, n)).tobytes(), pa.binary()) for n in ("points", "members", "start_of", "graph")}
-        return one({"dim": (key[0].as_py(), pa.int32()), "shard": (key[1].as_py(), pa.int32()), **packed, "entry": (i.entry, pa.int32())})
-
-    def pack_block(key: tuple, table: pa.Table) -> pa.Table:
-        ids, vectors = arrays(table)
-        return one({"dim": (key[0].as_py(), pa.int32()), "block": (key[1].as_py(), pa.int32()), "qids": (ids.tobytes(), pa.binary()), "queries": (vectors.tobytes(), pa.binary())})
-
-    @tidy
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                points = np.frombuffer(r["points"]).reshape(-1, r["dim"])
-                whole = lambda name: np.frombuffer(r[name], np.int64)  # noqa: B023, E731
-                i = Index(points, whole("members"), whole("start_of"), np.frombuffer(r["graph"], np.int32).reshape(len(points), -1), r["entry"])
-                found = search_shard(i, whole("qids"), np.frombuffer(r["queries"]).reshape(-1, r["dim"]), s)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+        small = i.points.astype(np.float32)
+        # half the bytes where that is exact
+        points = small if (small == i.points).all() else i.points
+        packed = {"points": points, "members": i.members, "start_of": i.start_of, "graph": i.graph}
+        columns = {"dim": (key[0].as_py(), pa.int32()), "shard": (key[1].as_py(), pa.int32()), **{n: (np.ascontiguousarray(x).tobytes(), pa.binary()) for n, x in packed.items()}, "entry": (i.entry, pa.int32()), "width": (points.itemsize, pa.int32())}
+        return pa.table({k: pa.array([v], t) for k, (v, t) in columns.items()})
 
     dealt = rows.withColumn("shard", shard).groupBy("dim", "shard")
-    indexes = stored(dealt.applyInArrow(build_index, "dim int, shard int, points binary, members binary, start_of binary, graph binary, entry int"), "ann-shards")
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("block", block).groupBy("dim", "block").applyInArrow(pack_block, "dim int, block int, qids binary, queries binary")
-    # every block of queries goes to every shard
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), pick(shards) - 1)))
-    part = everywhere.join(indexes, ["dim", "shard"]).mapInArrow(search, "query_id long, vec_id long, score double")
+    indexes = stored(dealt.applyInArrow(build_index, "dim int, shard int, points binary, members binary, start_of binary, graph binary, entry int, width int"), "ann-shards")
+    asked = stored(rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("block", block), "ann-queries")
+
+    def found(dim: int, number: int) -> DataFrame:
+        """The k nearest of a block's queries in the shards of each task; the block goes to the shards, which stay where they are."""
+        shared = frame.sparkSession.sparkContext.broadcast(arrays(asked.where((F.col("dim") == dim) & (F.col("block") == number)).select("vec_id", "v").toArrow()))
+
+        @tidy
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, queries = shared.value
+            kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    r = {n: c[at] for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                    whole = lambda name, kind=np.int64: np.frombuffer(r[name].as_buffer(), kind)  # noqa: B023, E731
+                    points = whole("points", f"f{r['width'].as_py()}").reshape(-1, dim).astype(float)
+                    i = Index(points, whole("members"), whole("start_of"), whole("graph", np.int32).reshape(len(points), -1), r["entry"].as_py())
+                    q, vec, dist = (np.concatenate(x) for x in zip(kept, search_shard(i, qids, queries, s), strict=True))
+                    by = np.lexsort((vec, dist, q))
+                    q, vec, dist = q[by], vec[by], dist[by]
+                    top = np.arange(len(q)) - np.searchsorted(q, q) < s.k
+                    kept = q[top], vec[top], dist[top]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["query_id", "vec_id", "score"])
+
+        part = stored(indexes.where(F.col("dim") == dim).mapInArrow(search, "query_id long, vec_id long, score double"), "ann-found")
+        shared.unpersist()
+        return part
+
+    part = [found(d, b) for d, (_, q) in sizes.items() if q for b in range(blocks[d])]
+    part = reduce(DataFrame.unionByName, part) if part else frame.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

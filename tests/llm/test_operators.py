@@ -323,6 +323,16 @@ def test_neighbours_recall_and_distances(spark):
         assert all(d == pytest.approx(exact[q, v], rel=1e-12) for q in got for v, d in got[q] if (q, v) in exact)
 
 
+def test_neighbours_queries_go_to_resident_indexes(spark):
+    # no join carries an index with a block of queries; many blocks give what one gives
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(900)], "vec_id long, embedding array<double>")
+    found = [neighbours.nearest(frame, neighbours.Settings(shard_rows=200, query_block=b), "vec_id % 50 = 0") for b in (4, 1000)]
+    assert "Join" not in found[0]._jdf.queryExecution().analyzed().toString()
+    one, other = (sorted(map(tuple, f.collect())) for f in found)
+    assert one == other and len(one) == 180
+
+
 def test_neighbours_awkward_vectors(spark):
     one = [1.0, 0.0, 2.0]
     rows = [(0, one), (100, [5.0, 5.0, 5.0]), (200, [1.0, 2.0]), (1, one), (2, one), (3, [1.0, 0.0, 2.5]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 1.0]), (7, [1.0, float("nan"), 1.0]), (8, [1.0, 3.0]), (None, one)]
