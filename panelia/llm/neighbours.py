@@ -176,7 +176,8 @@ def search_shard(index: Index, query_ids: np.ndarray, queries: np.ndarray, s: Se
     small = points.astype(np.float32)
     norms = (small**2).sum(1)
     out: list[tuple[np.ndarray, ...]] = []
-    block = max(1, min(len(queries), (64 << 20) // max(1, len(points))))
+    # 64 MB at most of marks of seen points, and of differences to the points found
+    block = max(1, min(len(queries), (64 << 20) // max(1, len(points), 8 * s.search_beam * points.shape[1])))
     for a in range(0, len(queries), block):
         q, qi = queries[a : a + block], query_ids[a : a + block]
         found, _ = beam_search(small, norms, graph, entry, q.astype(np.float32), min(s.search_beam, max(len(points), 1)))
