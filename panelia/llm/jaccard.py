@@ -16,8 +16,13 @@ alone: hence the set of the higher level finds its common segment among those of
 Equal sets are one node (their documents are a class).  Sets with a common signature are candidates.  A bucket
 sends pairs with its least node only (a bucket inside a slice of the input too, so that a large group of copies
 sends one row per slice and signature).  Verified links make components; buckets that still hold several
-components are compared again, with another pivot, and then by all their pairs across components (filtered by
-sizes and by parity sketches, lower bounds of the difference), so that no link that joins components is lost.
+components are compared again, with another pivot, and then across components, so that no link that joins
+components is lost: in buckets of up to FEW members by all pairs (filtered by sizes and by parity sketches, lower
+bounds of the difference), in larger ones by prefixes.  For those, a set's shingles are put in one order for all
+sets, shingles of one component first, then rare ones; linked sets of n and m shingles have at least
+o = num * (n + m) / (num + den) in common, so that their first common shingle is among the first n - o + 1 of one
+and m - o + 1 of the other.  Sets meet by such a shingle and by their bands of sizes, and only across components;
+sets that are alike but not linked have too many shingles of their own to meet.
 
 Defined cases: a null text, or one without words, has no set and is linked with nothing; a text of fewer words
 than the shingle has one shingle, all its words; repeated rows are in one component; a null doc_id takes
@@ -45,6 +50,7 @@ from .words import BASE, as_string, bound_batches, hash_words, mix, ngram_hashes
 NODE_BITS = 25
 SEGMENT_SALT, BAND_SALT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03)
 SKETCH = 4
+FEW = 16
 
 
 @dataclass(frozen=True)
@@ -70,6 +76,18 @@ def band_starts(s: Settings, largest: int) -> np.ndarray:
     return np.array([*starts, starts[-1] * s.den // s.num + 1], np.int64)
 
 
+def size_band(n: F.Column) -> F.Column:
+    """Number of a band of sizes: sizes up to 32 by themselves, then 16 bands for each doubling."""
+    e = F.greatest(F.length(F.bin(n)) - 5, F.lit(0))
+    return 16 * e + F.call_function("shiftright", n, e)
+
+
+def band_floor(b: F.Column) -> F.Column:
+    """The smallest size of a band."""
+    e = F.greatest((F.floor(b / 16) - 1).cast("int"), F.lit(0))
+    return F.call_function("shiftleft", b - 16 * e, e)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Owner and hash of the distinct shingles of every text; by text, then by hash."""
     owner, words = split_words(pc.ascii_lower(as_string(texts)))
@@ -254,13 +272,52 @@ class Join:
     def alike(self, na: str, nb: str) -> F.Column:
         return self.s.den * F.least(na, nb) >= self.s.num * F.greatest(na, nb)
 
+    def prefix(self, n: F.Column, m: F.Column) -> F.Column:
+        """Where the first common shingle of linked sets of n and of at least m shingles stands in the set of n, at the latest."""
+        both = self.s.num + self.s.den
+        return n + 1 - F.floor((self.s.num * (n + m) + both - 1) / both)
+
     def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components, with their components."""
+        """The members of buckets that hold several components, with their components and the bucket's size."""
         named = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
         named = stored(named, "jaccard-members")
-        mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+        mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("sig", "k")
         return stored(named.join(mixed, "sig"), "jaccard-mixed")
 
+    def few(self, mixed: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) across components in small buckets that sizes and sketches allow."""
+        sketch = [f"s{i}" for i in range(SKETCH)]
+        marked = stored(mixed.where(F.col("k") <= FEW).join(sets.select(F.col("node").alias("a"), *sketch), "a"), "jaccard-marked")
+        other = marked.select("sig", *(F.col(c).alias(f"_{c}") for c in ["a", "n", "comp", *sketch]))
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in sketch), F.lit(0))
+        close = apart <= F.floor((F.col("n") + F.col("_n")) * (self.s.den - self.s.num) / (self.s.den + self.s.num))
+        both = marked.join(other, "sig").where((F.col("a") < F.col("_a")) & (F.col("comp") != F.col("_comp")) & self.alike("n", "_n") & close)
+        return both.select("a", F.col("_a").alias("b"))
+
+    def many(self, mixed: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) across components among the members of large buckets whose prefixes meet."""
+        num, den, n = self.s.num, self.s.den, F.col("n")
+        members = mixed.where(F.col("k") > FEW).select("a", "comp").distinct()
+        grams = sets.select(F.col("node").alias("a"), "n", "grams").join(members, "a").select("a", "n", "comp", F.explode("grams").alias("g"))
+        # the shingles of several components; in the common order all others come before them
+        shared = grams.groupBy("g").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g", "c")
+        own = Window.partitionBy("a")
+        placed = grams.join(shared, "g").withColumn("at", n - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "g")))
+        least = F.floor((num * n + den - 1) / den)  # the fewest shingles of a set that links
+        placed = stored(placed.where(F.col("at") <= n + 1 - least).select("a", "n", "comp", "g", "at"), "jaccard-prefixes")
+        # every set as the smaller (x) and as the larger (y) of a pair, for each band in which the other may be
+        key, band = ["g", "x_band", "y_band"], size_band(n)
+        y_bands = F.explode(F.sequence(band, size_band(F.floor(n * den / num))))
+        x_bands = F.explode(F.sequence(size_band(least), band))
+        x = placed.select("*", band.alias("x_band"), y_bands.alias("y_band")).where(F.col("at") <= self.prefix(n, F.greatest(n, band_floor(F.col("y_band")))))
+        y = placed.select("*", x_bands.alias("x_band"), band.alias("y_band")).where(F.col("at") <= self.prefix(n, F.greatest(least, band_floor(F.col("x_band")))))
+        y = y.select(*key, *(F.col(c).alias(f"_{c}") for c in ["a", "n", "comp", "at"]))
+        # components first, so that the members of one don't meet each other
+        apart = x.select(*key, "comp").distinct().join(y.select(*key, "_comp").distinct(), key).where("comp <> _comp")
+        both = apart.join(x, [*key, "comp"]).join(y, [*key, "_comp"]).where((F.struct("n", "a") < F.struct("_n", "_a")) & self.alike("n", "_n"))
+        met = both.where((F.col("at") <= self.prefix(n, F.col("_n"))) & (F.col("_at") <= self.prefix(F.col("_n"), n)))
+        return met.select(F.least("a", "_a").alias("a"), F.greatest("a", "_a").alias("b"))
+
     def link_components(self, rows: DataFrame) -> DataFrame:
         """(node, comp) of the nodes that have links."""
         found = self.candidates()
@@ -284,13 +341,7 @@ class Join:
         mixed = self.across(members, labels)
         if mixed.isEmpty():
             return labels
-        sketch = [f"s{i}" for i in range(SKETCH)]
-        marked = stored(mixed.join(sets.select(F.col("node").alias("a"), *sketch), "a"), "jaccard-marked")
-        other = marked.select("sig", *(F.col(c).alias(f"_{c}") for c in ["a", "n", "comp", *sketch]))
-        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in sketch), F.lit(0))
-        close = apart <= F.floor((F.col("n") + F.col("_n")) * (self.s.den - self.s.num) / (self.s.den + self.s.num))
-        last = marked.join(other, "sig").where((F.col("a") < F.col("_a")) & (F.col("comp") != F.col("_comp")) & self.alike("n", "_n") & close)
-        last = last.select("a", F.col("_a").alias("b")).distinct().join(known.unionByName(again), ["a", "b"], "left_anti")
+        last = self.few(mixed, sets).unionByName(self.many(mixed, sets)).distinct().join(known.unionByName(again), ["a", "b"], "left_anti")
         new = stored(self.links(last, sets), "jaccard-links")
         if new.isEmpty():
             return labels

@@ -476,6 +476,50 @@ def test_large_group_of_near_copies(spark):
         assert collections.Counter(tuple(r) for r in jaccard.jaccard_components(docs, s).collect()) == brute_components(rows, s)
 
 
+def test_alike_but_not_linked(spark, monkeypatch):
+    """A family of alike texts that don't link: its pairs must not all be compared, and links within it be found."""
+    rng = np.random.default_rng(8)
+    base = [f"t{i}" for i in range(900)]
+    rows = []
+    for i in range(160):
+        w, p = list(base), int(rng.integers(0, 790))
+        w[p : p + 110] = [f"x{i}_{k}" for k in range(110)]
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:  # at the threshold, with other words changed
+            for k in rng.choice(900, 17, replace=False):
+                w[k] = f"y{i}_{k}"
+            rows.append((1000 + i, " ".join(w)))
+    compared = []
+    links = jaccard.Join.links
+    monkeypatch.setattr(jaccard.Join, "links", lambda self, pairs, sets: compared.append(pairs.count()) or links(self, pairs, sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    s = jaccard.Settings()
+    found = collections.Counter(tuple(r) for r in jaccard.jaccard_components(docs, s).collect())
+    assert found == brute_components(rows, s)
+    assert len(compared) == 3 and compared[-1] < 20 * len(rows)
+
+
+def test_prefixes_hold_every_link(spark):
+    """All linked pairs of sets across components, sizes of one to 3,000, are among those whose prefixes meet."""
+    rng = np.random.default_rng(9)
+    s = jaccard.Settings()
+    sets = []
+    for size in [*range(1, 40), 63, 64, 65, 100, 333, 1000, 3000]:
+        a = rng.choice(2**40, size, replace=False)
+        sets.append(set(a.tolist()))
+        for _ in range(6):
+            drop, add = (int(rng.integers(0, size // 5 + 2)) for _ in range(2))
+            sets.append(set(a[drop:].tolist()) | set(rng.choice(2**40, add).tolist()))
+    sets = [x for x in {frozenset(x) for x in sets if x}]
+    link = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if s.den * len(sets[a] & sets[b]) >= s.num * len(sets[a] | sets[b])}
+    join = jaccard.Join(spark.createDataFrame([], "doc_id long, text string"), s)
+    table = spark.createDataFrame([(i, len(x), sorted(x)) for i, x in enumerate(sets)], "node long, n long, grams array<long>")
+    for comps in (len(sets), 40):
+        members = spark.createDataFrame([(0, i, len(x), i % comps, len(sets)) for i, x in enumerate(sets)], "sig long, a long, n long, comp long, k long")
+        met = {tuple(r) for r in join.many(members, table).distinct().collect()}
+        assert met >= {(a, b) for a, b in link if a % comps != b % comps} and all(a < b and a % comps != b % comps for a, b in met)
+
+
 def test_keep_one(awkward):
     s = jaccard.Settings()
     out = jaccard.keep_one(awkward, s)
