@@ -17,7 +17,7 @@ Equal sets are one node (their documents are a class).  Sets with a common signa
 sends pairs with its least node only (a bucket inside a slice of the input too, so that a large group of copies
 sends one row per slice and signature).  Verified links make components; buckets that still hold several
 components are compared again, with another pivot, and then across components, so that no link that joins
-components is lost: in buckets of up to FEW members by all pairs (filtered by sizes and by parity sketches, lower
+components is lost: in buckets of up to ``few`` members by all pairs (filtered by sizes and by parity sketches, lower
 bounds of the difference), in larger ones by prefixes.  For those, a set's shingles are put in one order for all
 sets, shingles of one component first, then rare ones; linked sets of n and m shingles have at least
 o = num * (n + m) / (num + den) in common, so that their first common shingle is among the first n - o + 1 of one
@@ -50,18 +50,18 @@ from .words import BASE, as_string, bound_batches, hash_words, mix, ngram_hashes
 NODE_BITS = 25
 SEGMENT_SALT, BAND_SALT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1B54A32D192ED03)
 SKETCH = 4
-FEW = 16
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Link when den * intersection >= num * union."""
+    """Link when den * intersection >= num * union; ``few`` None: buckets of any size are compared by all pairs."""
 
     words: int = 5
     num: int = 80
     den: int = 100
     slack: float = 1.12
     top_level: int = 8
+    few: int | None = 16
 
 
 def differ(total: int | np.ndarray, s: Settings):
@@ -287,7 +287,7 @@ class Join:
     def few(self, mixed: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) across components in small buckets that sizes and sketches allow."""
         sketch = [f"s{i}" for i in range(SKETCH)]
-        marked = stored(mixed.where(F.col("k") <= FEW).join(sets.select(F.col("node").alias("a"), *sketch), "a"), "jaccard-marked")
+        marked = stored((mixed if self.s.few is None else mixed.where(F.col("k") <= self.s.few)).join(sets.select(F.col("node").alias("a"), *sketch), "a"), "jaccard-marked")
         other = marked.select("sig", *(F.col(c).alias(f"_{c}") for c in ["a", "n", "comp", *sketch]))
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in sketch), F.lit(0))
         close = apart <= F.floor((F.col("n") + F.col("_n")) * (self.s.den - self.s.num) / (self.s.den + self.s.num))
@@ -297,7 +297,7 @@ class Join:
     def many(self, mixed: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) across components among the members of large buckets whose prefixes meet."""
         num, den, n = self.s.num, self.s.den, F.col("n")
-        members = mixed.where(F.col("k") > FEW).select("a", "comp").distinct()
+        members = mixed.where(F.col("k") > self.s.few).select("a", "comp").distinct()
         grams = sets.select(F.col("node").alias("a"), "n", "grams").join(members, "a").select("a", "n", "comp", F.explode("grams").alias("g"))
         # the shingles of several components; in the common order all others come before them
         shared = grams.groupBy("g").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g", "c")
@@ -341,7 +341,10 @@ class Join:
         mixed = self.across(members, labels)
         if mixed.isEmpty():
             return labels
-        last = self.few(mixed, sets).unionByName(self.many(mixed, sets)).distinct().join(known.unionByName(again), ["a", "b"], "left_anti")
+        last = self.few(mixed, sets)
+        if self.s.few is not None:
+            last = last.unionByName(self.many(mixed, sets))
+        last = last.distinct().join(known.unionByName(again), ["a", "b"], "left_anti")
         new = stored(self.links(last, sets), "jaccard-links")
         if new.isEmpty():
             return labels
@@ -377,7 +380,7 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def production() -> Settings:
-    """The join of query op8: three words, 0.9."""
-    return Settings(words=3, num=90, den=100)
+    """The join of query op8: three words, 0.9; by all pairs, as prefixes make too many rows in one large group of near copies."""
+    return Settings(words=3, num=90, den=100, few=None)
 
 
